@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("kdshard", "packing", "simhash", "token_orc")
+MODULES = ("decontam", "kdshard", "packing", "simhash", "token_orc")
 
 
 def queries() -> dict:
