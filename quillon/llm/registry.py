@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontam", "kdshard", "langid", "matroska", "packing", "quality", "simhash", "suffixdedup", "token_orc")
+MODULES = ("decontam", "htmltext", "kdshard", "langid", "matroska", "packing", "quality", "simhash", "suffixdedup", "token_orc")
 
 
 def queries() -> dict:
