@@ -5,7 +5,8 @@ positions would move many times the text, so its suffixes are anchored: each 50-
 it with the least hash (content alone decides, so equal windows pick alike), and the windows of one anchor stay
 together as its context. Then
 
-1. documents are dealt by a hash of doc_id into batches of bounded bytes; within a batch, windows that a smaller
+1. documents are dealt into batches of bounded bytes by the least hash of their long lines, so that copies and near
+   copies tend to meet, and lines with too many bytes for a batch are salted; within a batch, windows that a smaller
    doc_id there also has are settled at once, so a passage that a third of all documents share leaves a batch once;
 2. the grams that batches still have to ask about meet by hash, and those of two batches or more go back;
 3. contexts of these grams meet by gram. Equal contexts are one class; different ones of one gram are put into an
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.esa import least_by_interval, words_at
-from quillon.runtime import ship, table
+from quillon.runtime import cut, ship, table
 
 WINDOW = 50
 GRAM = 24
@@ -364,9 +365,16 @@ def _cleaner(columns: list[str]):
 
 def _run(docs: DataFrame, finish, schema, batch_bytes: int, hot_batches: int) -> DataFrame:
     ship(docs.sparkSession)
-    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    text = F.col("text").cast("string")
+    keyed = docs.withColumn("_deal", F.coalesce(F.array_min(F.transform(F.filter(F.split(text, "\n"), lambda x: F.octet_length(x) >= WINDOW), lambda x: F.xxhash64(x))), F.xxhash64(text)))
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    by_key = cut(keyed.select("_deal", size.alias("size")).groupBy("_deal").agg(F.sum("size").alias("size")))
+    total = by_key.agg(F.sum("size")).first()[0] or 0
     n = max(1, math.ceil(total / batch_bytes))
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    # a million keys at most can be heavier than a millionth of the whole, so this side is bounded
+    heavy = by_key.where(F.col("size") > max(batch_bytes // 4, total // 1_000_000)).select("_deal", F.ceil(F.col("size") / F.lit(batch_bytes // 4)).cast("long").alias("_salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_salts")), F.lit(0))
+    dealt = keyed.join(F.broadcast(heavy), "_deal", "left").withColumn("batch", F.pmod(F.xxhash64("_deal", salt), F.lit(n)).cast("int")).drop("_deal", "_salts")
     asked = dealt.select("doc_id", "text", "batch").groupBy("batch").applyInArrow(_grams(n), "bucket int, batch int, data binary")
     shared = asked.groupBy("bucket").applyInArrow(_shared(hot_batches), "batch int, data binary")
     ctx = dealt.select("doc_id", "text", "batch").groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_contexts(n), "bucket int, batch int, kind int, meta binary, data binary")
