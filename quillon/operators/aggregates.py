@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.transforms import Expr, col, named
+from quillon.runtime import cut
+
+#: Values that a round of reduce_rows merges in one list.
+CHUNK = 4096
 
 
 def fold(df: DataFrame, **aggs: Expr) -> DataFrame:
@@ -43,22 +47,28 @@ def fold_python(df: DataFrame, step: Callable[[Any, dict], Any], combine: Callab
 
 
 def reduce_rows(df: DataFrame, value: Expr, merge: Callable[[Column, Column], Column] | None = None, agg: Expr | None = None) -> Any:
-    """One value of all rows: by a built-in aggregate, or by a Column merge of partition-sized lists.
+    """One value of all rows: by a built-in aggregate, or by a Column merge in rounds over lists of ``CHUNK`` values.
 
-    Raises ValueError where there is no row.
+    ``merge`` must be associative and commutative; it sees no nulls. Raises ValueError where there is no value.
     """
     if agg is not None:
         got = df.agg(col(agg).alias("v"), F.count(F.lit(1)).alias("n")).first()
         if not got.n:
             raise ValueError("No result: the dataset is empty")
         return got.v
-    own = df.select(col(value).alias("v")).withColumn("p", F.spark_partition_id())
-    parts = own.groupBy("p", (F.monotonically_increasing_id() % 64).alias("s")).agg(F.collect_list("v").alias("vs"))
-    one = parts.select(F.reduce(F.slice("vs", 2, F.greatest(F.size("vs") - 1, F.lit(0))), F.col("vs")[0], merge).alias("v"))
-    got = [r.v for r in one.agg(F.collect_list("v").alias("vs")).select(F.reduce(F.slice("vs", 2, F.greatest(F.size("vs") - 1, F.lit(0))), F.get("vs", F.lit(0)), merge).alias("v"), F.size("vs").alias("n")).where("n > 0").collect()]
-    if not got:
-        raise ValueError("No result: the dataset is empty")
-    return got[0]
+    left = df.select(col(value).alias("v"))
+    while True:
+        place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        own = left.select("v", F.spark_partition_id().alias("p"), F.floor(place / CHUNK).alias("c"))
+        lists = own.groupBy("p", "c").agg(F.collect_list("v").alias("vs")).where("size(vs) > 0")
+        rest = F.slice("vs", 2, F.greatest(F.size("vs") - 1, F.lit(0)))
+        left = cut(lists.select(F.reduce(rest, F.col("vs")[0], merge).alias("v")))
+        n = left.count()
+        if not n:
+            raise ValueError("No result: the dataset is empty")
+        if n == 1:
+            return left.first().v
+        left = left.repartition(-(-n // CHUNK))
 
 
 def reduce_by_key(df: DataFrame, keys: list[str], **aggs: Expr) -> DataFrame:

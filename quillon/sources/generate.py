@@ -8,7 +8,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from quillon.operators.transforms import Expr, named
 
@@ -83,7 +83,7 @@ def _cut(rows: Sequence, cuts: list[int], schema: Any, spark: SparkSession) -> D
     bounds = list(zip(cuts[:-1], cuts[1:], strict=True))
     numbered = [(k, i, *(r if isinstance(r, tuple) else (r,))) for k, (a, z) in enumerate(bounds) for i, r in enumerate(rows[a:z])]
     want = spark.createDataFrame([], schema).schema
-    wide = StructType().add("_to", "int").add("_at", "int")
+    wide = StructType().add("_to", IntegerType()).add("_at", IntegerType())
     for f in want.fields:
         wide.add(f)
     df = spark.createDataFrame(numbered, wide)

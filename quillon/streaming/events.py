@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, folder: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(folder)
+    """Files of a folder as they come; watermarks need ts to be an instant, so a local time is taken in the session's zone."""
+    return spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes", by: str = "event_type") -> DataFrame:
