@@ -32,12 +32,13 @@ CACHE_WORDS = 500_000
 KEEP = 0.5
 ALPHA = 0.05
 UNKNOWN = 1e-6
+_BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LETTERS = re.compile(r"[^\W\d_]+")
-_VOCAB: dict[str | None, dict[str, int]] = {}
+_VOCAB: dict[str | None, "Pieces"] = {}
 _SCORERS: dict[str, "Scorer"] = {}
 
 
-def vocabulary(path: str | None = None) -> dict[str, int]:
+def vocabulary(path: str | None = None) -> Pieces:
     """Pieces of letters with their ids; a word begins with the mark of a space."""
     if path not in _VOCAB:
         import public_tokenizers
@@ -46,27 +47,70 @@ def vocabulary(path: str | None = None) -> dict[str, int]:
         sp = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
         pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i)))
         own = sorted({p for p in pieces if p.lower() == p and p.lstrip("▁").isalpha() and len(p) <= LONGEST})
-        _VOCAB[path] = {p: i + 1 for i, p in enumerate(own)}  # 0 stands for any other letter
+        _VOCAB[path] = Pieces({p: i + 1 for i, p in enumerate(own)})  # 0 stands for any other letter
     return _VOCAB[path]
 
 
+class Pieces(dict):
+    """Ids of pieces, and for each length the sorted 64-bit hashes by which whole arrays are looked up."""
+
+    def __init__(self, ids: dict[str, int]):
+        super().__init__(ids)
+        self.tables = []
+        for k in range(1, LONGEST + 1):
+            own = [(p, i) for p, i in ids.items() if len(p) == k]
+            h = np.zeros(len(own), dtype=np.uint64)
+            for c in _codes("".join(p for p, _ in own)).reshape(-1, k).T:
+                h = h * _BASE + c
+            order = np.argsort(h)
+            maybe = np.zeros(1 << 16, dtype=bool)
+            maybe[_top(h)] = True
+            self.tables.append((maybe, h[order], np.array([i for _, i in own], dtype=np.int64)[order]))
+
+    def find(self, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are those of pieces of k letters, and the pieces."""
+        maybe, known, ids = self.tables[k - 1]
+        at = np.flatnonzero(maybe[_top(h)])
+        place = np.searchsorted(known, h[at])
+        place[place == len(known)] = 0
+        hit = known[place] == h[at] if len(known) else np.zeros(0, dtype=bool)
+        return at[hit], ids[place[hit]]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def _top(h: np.ndarray) -> np.ndarray:
+    return (h * _SPREAD) >> np.uint64(48)
+
+
 def lattice(words: list[str], vocab: dict[str, int]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-    """For each (end, length) the words that have a piece there, and the piece."""
-    edges: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
-    get = vocab.get
-    for w, s in enumerate(words):
-        n = len(s)
-        for i in range(n):
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
-                p = get(s[i:j])
-                if p is None:
-                    if j > i + 1:
-                        continue
-                    p = 0
-                at = edges.setdefault((j, j - i), ([], []))
-                at[0].append(w)
-                at[1].append(p)
-    return {k: (np.array(a), np.array(b)) for k, (a, b) in sorted(edges.items())}
+    """For each (end, length), in order, the words that have a piece there, and the piece."""
+    vocab = vocab if isinstance(vocab, Pieces) else Pieces(vocab)
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    codes = _codes("".join(words))
+    owner = np.repeat(np.arange(len(words)), size)
+    at = np.arange(len(codes)) - (np.cumsum(size) - size)[owner]
+    room = size[owner] - at
+    live, h = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64)
+    keys, owners, pieces = [], [], []
+    for k in range(1, LONGEST + 1):
+        keep = room[live] >= k
+        live, h = live[keep], h[keep]
+        h = h * _BASE + codes[live + k - 1]
+        hit, ids = vocab.find(k, h)
+        if k == 1:  # a letter outside the vocabulary is piece 0
+            every = np.zeros(len(live), dtype=np.int64)
+            every[hit] = ids
+            hit, ids = np.arange(len(live)), every
+        keys.append((at[live[hit]] + k) << 8 | k)
+        owners.append(owner[live[hit]])
+        pieces.append(ids)
+    key, own, piece = (np.concatenate(x) for x in (keys, owners, pieces))
+    order = np.argsort(key, kind="stable")
+    edges, first = np.unique(key[order], return_index=True)
+    return {(int(e) >> 8, int(e) & 255): (own[o], piece[o]) for e, o in zip(edges, np.split(order, first[1:]), strict=True)} if len(edges) else {}
 
 
 def forward(words: list[str], edges: dict, probs: np.ndarray) -> np.ndarray:
@@ -117,20 +161,32 @@ class Scorer:
     def forget(self) -> None:
         self.at: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.langs) + 1), dtype=np.float64)
+        self.known: dict[str, int] = {}
+        self.parts = np.zeros((1024, len(self.langs)), dtype=np.float64)
+
+    @staticmethod
+    def _room(rows: np.ndarray, need: int) -> np.ndarray:
+        return rows if need <= len(rows) else np.concatenate([rows, np.zeros((max(len(rows), need - len(rows)), rows.shape[1]))])
+
+    def _learn_parts(self, fresh: list[str]) -> None:
+        self.parts = self._room(self.parts, len(self.known) + len(fresh))
+        for i in range(0, len(fresh), 20_000):
+            some, n = fresh[i : i + 20_000], len(self.known)
+            self.parts[n : n + len(some)] = likelihoods(some, self.vocab, self.probs)
+            self.known.update(zip(some, range(n, n + len(some)), strict=True))
 
     def _learn(self, words: list[str]) -> None:
         cuts = [parts_of(w) for w in words]
-        flat = sorted({p for c in cuts for p in c})
-        score = {p: i for i, p in enumerate(flat)}
-        ll = np.concatenate([likelihoods(flat[i : i + 20_000], self.vocab, self.probs) for i in range(0, len(flat), 20_000)] or [np.zeros((0, len(self.langs)))])
-        need = len(self.at) + len(words)
-        if need > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(len(self.rows), need - len(self.rows)), self.rows.shape[1]))])
-        for w, c in zip(words, cuts, strict=True):
-            i = self.at[w] = len(self.at)
-            if c:
-                self.rows[i, :-1] = ll[[score[p] for p in c]].sum(0)
-                self.rows[i, -1] = 1
+        self._learn_parts(sorted({p for c in cuts for p in c}.difference(self.known)))
+        n = len(self.at)
+        self.rows = self._room(self.rows, n + len(words))
+        self.at.update(zip(words, range(n, n + len(words)), strict=True))
+        size = np.array([len(c) for c in cuts], dtype=np.int64)
+        has = np.flatnonzero(size)
+        if len(has):
+            ll = self.parts[np.array([self.known[p] for c in cuts for p in c], dtype=np.int64)]
+            self.rows[n + has, :-1] = np.add.reduceat(ll, (np.cumsum(size) - size)[has])
+            self.rows[n + has, -1] = 1
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         words = [t.lower().split() if t else [] for t in texts]
