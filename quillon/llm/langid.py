@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.memory import give_back
 from quillon.runtime import ship, table
 
 TRAIN_DOCS = 2000
@@ -275,10 +276,14 @@ def _tell(model):
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = Scorer(langs, probs, path)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                lang, score = _SCORERS[key].score(b.column(1).slice(at, 500).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, 500):
+                    lang, score = _SCORERS[key].score(b.column(1).slice(at, 500).to_pylist())
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+        finally:
+            _SCORERS[key].forget()
+            give_back()
 
     return run
 

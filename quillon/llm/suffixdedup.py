@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.esa import least_by_interval, words_at
+from quillon.llm.memory import give_back
 from quillon.runtime import cut, ship, table
 
 WINDOW = 50
@@ -155,6 +156,7 @@ class Batch:
         raw = pc.fill_null(raw.cast(pa.large_string()), "")
         size = pc.binary_length(raw).to_numpy(zero_copy_only=False)
         texts = raw.cast(pa.large_binary())
+        del raw
         tie = np.array([hashlib.md5(t.as_buffer()).hexdigest() for t in texts]) if len(np.unique(doc)) < len(doc) else np.zeros(len(doc))
         self.order = np.lexsort((tie, size, doc))
         self.doc, self.size = doc[self.order], size[self.order].astype(np.int64)
@@ -178,17 +180,23 @@ class Batch:
         np.add.at(self.mark, at + n, -1)
 
     def settled(self) -> np.ndarray:
-        return np.cumsum(self.mark)[:-1] > 0
+        return np.cumsum(self.mark[:-1], dtype=np.int32) > 0
 
     def open_runs(self) -> np.ndarray:
         """Runs with a window that is not settled."""
-        free = np.concatenate([[0], np.cumsum(~self.settled(), dtype=np.int64)])
+        free = np.zeros(len(self.buf) + 1, dtype=np.int32)
+        np.cumsum(~self.settled(), out=free[1:], dtype=np.int32)
         return np.flatnonzero(free[self.runs["z"] + 1] > free[self.runs["a"]])
 
     def covered(self) -> np.ndarray:
-        n = np.concatenate([[0], np.cumsum(self.settled(), dtype=np.int64)])
-        i = np.arange(len(self.buf))
-        return n[i + 1] > n[np.maximum(0, i - WINDOW + 1)]
+        """Bytes in a settled window. Between two runs of settled windows lies an open one, so 25 runs at most reach a byte."""
+        on = np.zeros(len(self.buf) + 2, dtype=bool)
+        on[1:-1] = self.settled()
+        turn = np.flatnonzero(on[1:] != on[:-1])
+        depth = np.zeros(len(self.buf) + 1, dtype=np.int8)
+        depth[turn[::2]] += 1
+        np.subtract.at(depth, np.minimum(turn[1::2] + WINDOW - 1, len(self.buf)), 1)
+        return np.cumsum(depth[:-1], dtype=np.int8) > 0
 
 
 def _pack(g: np.ndarray) -> bytes:
@@ -201,6 +209,22 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
+def _tidy(f):
+    """f for a group, its memory being handed back before the next one comes."""
+
+    def one(rows: pa.Table) -> pa.Table:
+        out = f(rows)
+        give_back()
+        return out
+
+    def two(rows: pa.Table, other: pa.Table) -> pa.Table:
+        out = f(rows, other)
+        give_back()
+        return out
+
+    return two if f.__code__.co_argcount == 2 else one
+
+
 def _split(bucket: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
     o = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[o], np.arange(n + 1))
@@ -375,11 +399,11 @@ def _run(docs: DataFrame, finish, schema, batch_bytes: int, hot_batches: int) ->
     heavy = by_key.where(F.col("size") > max(batch_bytes // 4, total // 1_000_000)).select("_deal", F.ceil(F.col("size") / F.lit(batch_bytes // 4)).cast("long").alias("_salts"))
     salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_salts")), F.lit(0))
     dealt = keyed.join(F.broadcast(heavy), "_deal", "left").withColumn("batch", F.pmod(F.xxhash64("_deal", salt), F.lit(n)).cast("int")).drop("_deal", "_salts")
-    asked = dealt.select("doc_id", "text", "batch").groupBy("batch").applyInArrow(_grams(n), "bucket int, batch int, data binary")
-    shared = asked.groupBy("bucket").applyInArrow(_shared(hot_batches), "batch int, data binary")
-    ctx = dealt.select("doc_id", "text", "batch").groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_contexts(n), "bucket int, batch int, kind int, meta binary, data binary")
-    told = ctx.groupBy("bucket").applyInArrow(_answers, "batch int, data binary")
-    return dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(finish, schema)
+    asked = dealt.select("doc_id", "text", "batch").groupBy("batch").applyInArrow(_tidy(_grams(n)), "bucket int, batch int, data binary")
+    shared = asked.groupBy("bucket").applyInArrow(_tidy(_shared(hot_batches)), "batch int, data binary")
+    ctx = dealt.select("doc_id", "text", "batch").groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_tidy(_contexts(n)), "bucket int, batch int, kind int, meta binary, data binary")
+    told = ctx.groupBy("bucket").applyInArrow(_tidy(_answers), "batch int, data binary")
+    return dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_tidy(finish), schema)
 
 
 def removed_spans(docs: DataFrame, batch_bytes: int = BATCH_BYTES, hot_batches: int = HOT_BATCHES) -> DataFrame:
