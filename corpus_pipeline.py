@@ -1,7 +1,8 @@
 """A corpus from documents to packed sequences, in five stages.
 
 Each stage takes what the one before kept, as a table written and read again. Documents without a told language go;
-one document of each SimHash class stays; passages that an earlier document has are cut; contaminated documents go;
+one document of each
+class of near duplicates (5-word shingles, similarity 0.8 or more) stays; passages that an earlier document has are cut; contaminated documents go;
 the rest is encoded and packed. All stages but the last return the columns of documents.
 """
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.decontam import decontaminate
 from quillon.llm.langid import language_filter
+from quillon.llm.neardup import near_duplicates_dropped
 from quillon.llm.packing import pack
-from quillon.llm.simhash import simhash_dedup
 from quillon.llm.suffixdedup import suffix_dedup
 from quillon.runtime import shared_path, table
 
@@ -23,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup(docs)
+    return near_duplicates_dropped(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("language ID", language_id), ("SimHash near-dedup", near_dedup), ("suffix-array dedup", passage_dedup), ("benchmark decontamination", benchmark_filter), ("best-fit packing", packing)]
+STAGES = [("language ID", language_id), ("near-dedup", near_dedup), ("suffix-array dedup", passage_dedup), ("benchmark decontamination", benchmark_filter), ("best-fit packing", packing)]
 
 #: The stages use hashes, models and tokenizers that SQL has not.
 ORACLE_SQL = None
