@@ -7,8 +7,8 @@ confirms each occurrence. Patterns are searched in classes of like length, so th
 skips of the rest.
 
 The benchmark is the query set. It goes to the workers in blocks of ``BLOCK_BYTES`` of text at most, each block being
-searched in all documents; one block is the rule. Null and blank texts have no words and no hits. An item without
-words has no window. Repeated rows give a row each; an empty table gives no rows, and an empty benchmark no hits.
+searched in all documents; one block is the rule. Null and blank texts have no words and no hits. A null
+doc_id is like any other. An item without words has no window. Repeated rows give a row each; an empty table gives no rows, and an empty benchmark no hits.
 """
 
 from __future__ import annotations
@@ -208,10 +208,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
         # a later block adds to the documents it occurs in only
         more = cut(found.where("size(spans) > 0").dropDuplicates(["doc_id", "key"]))
         first = cut(got)
-        touched = more.select("doc_id", "key").distinct()
-        merged = first.join(touched, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).unionByName(more).groupBy("doc_id", "key").applyInArrow(_merge, _HITS)
-        again = first.join(touched, ["doc_id", "key"], "left_semi").select("doc_id", "key").join(merged, ["doc_id", "key"])
-        got = first.join(touched, ["doc_id", "key"], "left_anti").unionByName(again)
+        same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))
+        touched = more.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct()
+        merged = first.join(touched, same, "left_semi").dropDuplicates(["doc_id", "key"]).unionByName(more).groupBy("doc_id", "key").applyInArrow(_merge, _HITS)
+        again = first.join(touched, same, "left_semi").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).join(merged, same).select(*first.columns)
+        got = first.join(touched, same, "left_anti").unionByName(again)
     n_hit = F.expr("aggregate(sequence(0, cast(size(spans) / 2 as int)), 0L, (s, i) -> s + coalesce(get(spans, 2 * i + 1) - get(spans, 2 * i), 0L))")
     return got.select("doc_id", "n_words", "spans", n_hit.alias("n_hit"), "items")
 
@@ -229,9 +230,13 @@ def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated; columns as they were."""
-    bad = verdicts(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """The documents that are not contaminated; columns as they were.
+
+    Rows are told by a hash of doc_id and text, so documents with a null or repeated doc_id are judged each by its text.
+    """
+    row = F.xxhash64(docs["doc_id"], docs["text"])
+    bad = verdicts(docs.select(row.alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, row == bad["_bad"], "left_anti")
 
 
 def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,9 +307,14 @@ def learned(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def language_filter(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The documents whose language is told with a posterior of ``keep`` or more; columns as they were."""
-    bad = predict(docs, learned(docs)).where((F.col("lang_pred") == "und") | (F.col("score") < keep)).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The documents whose language is told with a posterior of ``keep`` or more; columns as they were.
+
+    Rows are told by a hash of doc_id and text, so documents with a null or repeated doc_id are judged each by its text.
+    """
+    row = F.xxhash64(docs["doc_id"], docs["text"])
+    told = predict(docs.select(row.alias("doc_id"), "text"), learned(docs))
+    bad = told.where((F.col("lang_pred") == "und") | (F.col("score") < keep)).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, row == bad["_bad"], "left_anti")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.graph import components
-from quillon.llm.simhash import LOWER, SEED
+from quillon.llm.simhash import LOWER, SEED, keep_one, text_key
 from quillon.runtime import cut, remove, shared_path, ship
 
 SHINGLE = 5
@@ -29,10 +29,6 @@ SAMPLE = 20_000
 FREQUENT = 500_000
 
 
-def text_key() -> F.Column:
-    return F.xxhash64(F.col("text").cast("string"))
-
-
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct shingle hashes of a text in ascending order."""
     import xxhash
@@ -137,19 +133,6 @@ def classes(docs: DataFrame) -> DataFrame:
     return out
 
 
-def keep_one(docs: DataFrame, told: DataFrame) -> DataFrame:
-    """The rows with the least doc_id of each class; columns as they were. told: (doc_id, key, class) of all rows.
-
-    A null doc_id counts as the largest. Of a class without any doc_id one row stays, of the text with the least key.
-    """
-    least = told.groupBy("class").agg(F.min("doc_id").alias("_least"), F.min("key").alias("_key"))
-    keep = told.join(least, "class").where("doc_id = _least").select(F.col("doc_id").alias("_keep"), F.col("key").alias("_text")).distinct()
-    named = docs.where("doc_id is not null").join(keep, (docs["doc_id"] == F.col("_keep")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_text")), "left_semi")
-    alone = least.where("_least is null").select("_key")
-    unnamed = docs.where("doc_id is null").dropDuplicates(["text"])
-    return named.unionByName(unnamed.join(alone, F.xxhash64(unnamed["text"].cast("string")) == F.col("_key"), "left_semi"))
-
-
 def near_duplicates_dropped(docs: DataFrame) -> DataFrame:
     """The documents less all but the one with the least doc_id of each near-duplicate class; columns as they were."""
     return keep_one(docs, classes(docs))

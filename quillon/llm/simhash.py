@@ -8,7 +8,8 @@ share a key are verified by their bits. Keys with many fingerprints go another e
 or fewer share a one-bit neighbour, and at most 65 fingerprints share any such centre, so no group there is large.
 
 Null and blank texts have no words and the fingerprint zero, which links like any other. Repeated doc_ids are kept as
-rows; extra columns are ignored.
+rows; extra columns are ignored. Classes are told by fingerprints, so a null doc_id does no harm: it counts as the
+largest, and the component_id of a class without any doc_id is null.
 """
 
 from __future__ import annotations
@@ -73,16 +74,20 @@ def fingerprint_texts(texts: list[str | None], shingle: int = SHINGLE) -> np.nda
     return out[where] if len(where) else np.zeros(0, dtype=np.uint64)
 
 
+def text_key() -> F.Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _fingerprints(batches):
     for b in batches:
-        fp = fingerprint_texts(b.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        fp = fingerprint_texts(b.column(2).to_pylist())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, key, fp): a hash of the text, and the fingerprint as a signed long."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, key long, fp long")
 
 
 def _syndromes(v: np.ndarray) -> np.ndarray:
@@ -202,19 +207,37 @@ def links(distinct: DataFrame, hot_key: int | None = None) -> DataFrame:
     return near.unionByName(members.select(F.explode("m").alias("u"), F.col("m")[0].alias("v")).where("u <> v"))
 
 
+def _told(docs: DataFrame) -> DataFrame:
+    """(fp, doc_id, key, class, component_id) of all rows; class is the least fingerprint of the component."""
+    fps = cut(fingerprints(docs))
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("_own")).withColumn("rep", F.col("fp"))
+    labels = components(links(distinct.select("fp", "rep")))
+    classes = distinct.join(labels, distinct.rep == labels.node, "left").select("fp", "_own", F.coalesce("component", "rep").alias("class"))
+    least = classes.groupBy("class").agg(F.min("_own").alias("component_id"))
+    return fps.join(classes.join(least, "class").drop("_own"), "fp")
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of all documents; an empty table gives no rows."""
-    fps = cut(fingerprints(docs))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    labels = components(links(distinct))
-    classes = distinct.join(labels, distinct.rep == labels.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return _told(docs).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """The rows with the least doc_id of each class; columns as they were. told: (doc_id, key, class) of all rows.
+
+    A null doc_id counts as the largest. Of a class without any doc_id one row stays, of the text with the least key.
+    """
+    least = told.groupBy("class").agg(F.min("doc_id").alias("_least"), F.min("key").alias("_key"))
+    keep = told.join(least, "class").where("doc_id = _least").select(F.col("doc_id").alias("_keep"), F.col("key").alias("_text")).distinct()
+    named = docs.where("doc_id is not null").join(keep, (docs["doc_id"] == keep["_keep"]) & (F.xxhash64(docs["text"].cast("string")) == keep["_text"]), "left_semi")
+    alone = least.where("_least is null").select("_key")
+    unnamed = docs.where("doc_id is null").dropDuplicates(["text"])
+    return named.unionByName(unnamed.join(alone, F.xxhash64(unnamed["text"].cast("string")) == alone["_key"], "left_semi"))
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """The documents less all but the one with the least doc_id of each near-duplicate class; columns as they were."""
-    keep = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
+    return keep_one(docs, _told(docs).select("doc_id", "key", "class"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
