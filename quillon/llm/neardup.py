@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.graph import components
@@ -25,8 +25,10 @@ from quillon.runtime import cut, remove, shared_path, ship
 
 SHINGLE = 5
 #: Documents, about, from which frequent shingles are told, and how many of these are sent to the workers.
-SAMPLE = 20_000
+SAMPLE = 5_000
 FREQUENT = 500_000
+#: Places of a bitmap that keeps most texts that are not to be compared from being moved.
+SLOTS = 1 << 24
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -45,89 +47,118 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def _sets(batches):
-    import xxhash
-
+def _all(batches):
     for b in batches:
-        raw = [shingles(t).tobytes() for t in b.column(2).to_pylist()]
-        node = np.array([xxhash.xxh64_intdigest(r) for r in raw], dtype=np.uint64).view(np.int64)
-        n = pa.array([len(r) // 8 for r in raw], pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), n, pa.array(raw, pa.binary())], names=["doc_id", "key", "node", "n", "hashes"])
+        got = [shingles(t) for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view("<i8") if got else np.zeros(0, dtype=np.int64))], names=["shingle"])
 
 
-def _all(batches):
+def _prefix(h: np.ndarray, known: np.ndarray, uses: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of all: by uses in the sample, then by hash."""
+    if not len(h):
+        return h
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        h = h[np.argsort(np.where(known[at] == h, uses[at], 0), kind="stable")]
+    return h[: len(h) - (4 * len(h) + 4) // 5 + 1]
+
+
+def _sets(sent):
+    def run(batches):
+        import xxhash
+
+        for b in batches:
+            got = [shingles(t) for t in b.column(2).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in got], dtype=np.uint64).view(np.int64)
+            n = pa.array([len(h) for h in got], pa.int32())
+            first = pa.array([_prefix(h, *sent.value).tobytes() for h in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), n, first], names=["doc_id", "key", "node", "n", "first"])
+
+    return run
+
+
+def _prefixes(batches):
     for b in batches:
-        h = np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(h)], names=["shingle"])
+        raw = b.column(2).to_pylist()
+        count = [len(r) // 8 for r in raw]
+        nodes, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), "<i8")), pa.array(np.repeat(nodes, count)), pa.array(np.repeat(sizes, count))], names=["shingle", "node", "n"])
+
 
+def _maybe(sent):
+    """Rows whose key may be among those asked for."""
 
-def _prefixes(sent):
     def run(batches):
-        known, uses = sent.value
         for b in batches:
-            nodes, sizes, out = b.column(0).to_numpy(), b.column(1).to_numpy(), []
-            for raw in b.column(2).to_pylist():
-                h = np.frombuffer(raw, "<u8")
-                first = len(h) - (4 * len(h) + 4) // 5 + 1 if len(h) else 0
-                if len(known) and len(h):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.argsort(np.where(known[at] == h, uses[at], 0), kind="stable")]
-                out.append(h[:first])
-            count = [len(x) for x in out]
-            flat = np.concatenate(out).view("<i8") if out else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(nodes, count)), pa.array(np.repeat(sizes, count))], names=["shingle", "node", "n"])
+            yield b.filter(pa.array(sent.value[b.column(0).to_numpy() & (SLOTS - 1)]))
 
     return run
 
 
 def _verified(batches):
     for b in batches:
-        a, z = b.column(2).to_pylist(), b.column(3).to_pylist()
-        yes = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(a, z, strict=True)]
-        yield b.select(["u", "v"]).filter(pa.array(yes, pa.bool_()))
+        seen: dict[str | None, np.ndarray] = {}
+        a, z = ([seen[t] if t in seen else seen.setdefault(t, shingles(t)) for t in b.column(c).to_pylist()] for c in (2, 3))
+        yield b.select(["u", "v"]).filter(pa.array([similar(x, y) for x, y in zip(a, z, strict=True)], pa.bool_()))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of nodes that are similar."""
-    pairs = cut(pairs.distinct())
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    own = sets.select("node", "hashes").join(asked, "node", "left_semi").dropDuplicates(["node"])
-    both = pairs.join(own.toDF("u", "a"), "u").join(own.toDF("v", "z"), "v").select("u", "v", "a", "z")
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes that are similar; texts: (node, text)."""
+    both = pairs.distinct().join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "z"), "v").select("u", "v", "a", "z")
     return cut(both.mapInArrow(_verified, "u long, v long"))
 
 
-def links(sets: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Labels (node, component) of all nodes that are similar to another; sets: (node, n, hashes)."""
-    spark = sets.sparkSession
-    every = max(1, sets.count() // sample)
-    some = sets.where(F.pmod("node", F.lit(every)) == 0).select("hashes").mapInArrow(_all, "shingle long")
-    often = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("uses")).where("uses > 2").orderBy(F.desc("uses"), "shingle").limit(FREQUENT).collect()
-    known = np.array([r.shingle for r in often], dtype=np.int64).view(np.uint64)
+def _frequent(rows: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, in ascending order, that documents of the sample share, and their uses there; FREQUENT at most."""
+    every = max(1, rows.count() // sample)
+    some = rows.where(F.pmod(F.col("key"), F.lit(every)) == 0).select("text").mapInArrow(_all, "shingle long")
+    often = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("uses")).where("uses > 2").orderBy(F.desc("uses"), "shingle").limit(FREQUENT).toArrow()
+    known = often.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(known)
-    sent = spark.sparkContext.broadcast((known[order], np.array([r.uses for r in often], dtype=np.int64)[order]))  # bounded by FREQUENT
-    prefix = sets.select("node", "n", "hashes").mapInArrow(_prefixes(sent), "shingle long, node long, n int")
-    groups = prefix.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    shared = cut(prefix.join(groups, "shingle").distinct())
-    near = F.expr("5L * least(n, m) >= 4L * greatest(n, m)")
+    return known[order], often.column("uses").to_numpy()[order]
+
+
+def _texts(rows: DataFrame, sets: DataFrame, asked: DataFrame, path: str) -> DataFrame:
+    """(node, text) of the nodes asked for, one text for each; written to path."""
+    spark = rows.sparkSession
+    holders = sets.join(asked, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    holders = cut(holders)
+    slots = holders.select(F.col("key").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).distinct().toArrow()
+    bits = np.zeros(SLOTS, dtype=bool)
+    bits[slots.column("slot").to_numpy()] = True
+    some = rows.select("key", "text").mapInArrow(_maybe(spark.sparkContext.broadcast(bits)), "key long, text string")  # SLOTS bytes at most
+    some.join(holders, "key").dropDuplicates(["node"]).select("node", "text").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def links(rows: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+    """Labels (node, component) of all nodes that are similar to another; sets: (key, node, n, first)."""
+    prefix = sets.select("node", "n", "first").mapInArrow(_prefixes, "shingle long, node long, n int")
+    same = Window.partitionBy("shingle")
+    shared = cut(prefix.withColumn("lo", F.min("node").over(same)).withColumn("hi", F.max("node").over(same)).where("lo < hi").distinct())
+    texts = _texts(rows, sets.select("node", "key"), shared.select("node").distinct(), path)
     ends = shared.where("node <> lo").select(F.col("node").alias("u"), F.col("lo").alias("v")).union(shared.where("node <> hi and node <> lo").select("node", "hi"))
-    edges = _compared(ends, sets)
+    edges = _compared(ends, texts)
     labels = components(edges)
     rest = shared.select("shingle", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = rest.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a < z").select("shingle")
     rest = cut(rest.join(open_, "shingle", "left_semi"))
     other = rest.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("theirs"))
+    near = F.expr("5L * least(n, m) >= 4L * greatest(n, m)")
     more = rest.join(other, "shingle").where("node < other and component <> theirs").where(near).select(F.col("node").alias("u"), F.col("other").alias("v"))
-    return components(edges.unionByName(_compared(more, sets)))
+    return components(edges.unionByName(_compared(more, texts)))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, class) of all rows; key is a hash of the text. The table of shingles is removed at the end."""
+def classes(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, key, class) of all rows; key is a hash of the text. Tables written on the way are removed at the end."""
     spark = docs.sparkSession
     ship(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    sent = spark.sparkContext.broadcast(_frequent(rows, sample))  # bounded by FREQUENT
     path = shared_path(spark, "shingles")
-    docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), F.col("text").cast("string")).mapInArrow(_sets, "doc_id long, key long, node long, n int, hashes binary").write.parquet(path)
-    sets = spark.read.parquet(path)
-    labels = links(sets)
+    rows.mapInArrow(_sets(sent), "doc_id long, key long, node long, n int, first binary").write.parquet(f"{path}/sets")
+    sets = spark.read.parquet(f"{path}/sets")
+    labels = links(rows, sets, f"{path}/texts")
     out = cut(sets.select("doc_id", "key", "node").join(labels, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("class")))
     remove(spark, path)
     return out

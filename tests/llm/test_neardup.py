@@ -35,7 +35,7 @@ def test_similarity_at_the_bound():
 @pytest.mark.parametrize("sample", [1, 20_000])
 def test_stage_drops_edited_copies(spark, docs_of, monkeypatch, sample):
     rng = random.Random(3)
-    monkeypatch.setattr(N.links, "__defaults__", (sample,))
+    monkeypatch.setattr(N.classes, "__defaults__", (sample,))
     line = "all of this is here under the same terms as ever "
     texts = [None, "", " \n", "One", "one", line, line + "x"]
     for n in (6, 20, 50, 51, 120, 400):
