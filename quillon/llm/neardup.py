@@ -8,6 +8,8 @@ have seldom meet; the sample decides the order alone, never the result. Then
    large group of near copies is mostly joined by as many comparisons as it has members;
 2. pairs of sets that still lie in different classes, share a prefix shingle and are near enough in size are all compared.
 
+Pairs are told by their texts, after sketches have sorted out those that cannot be similar.
+
 Words are those of op8 (A-Z lower-cased, parted by white space). Texts of fewer words are one shingle; null and blank
 texts are the empty set, which is like itself alone. Shingles and sets are told by 64 bits.
 """
@@ -63,6 +65,25 @@ def _prefix(h: np.ndarray, known: np.ndarray, uses: np.ndarray) -> np.ndarray:
     return h[: len(h) - (4 * len(h) + 4) // 5 + 1]
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of a set's shingles in as many places as it has shingles, or up to twice as many, a power of two."""
+    places = max(64, 1 << max(0, len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(n: int, a: bytes, m: int, z: bytes) -> bool:
+    """False only for sets of n and m shingles below 0.8: each place that differs in parity is a shingle of one set alone."""
+    if 5 * min(n, m) < 4 * max(n, m):
+        return False
+    if len(a) > len(z):
+        a, z = z, a
+    while len(z) > len(a):  # fold the longer one
+        half = len(z) // 2
+        z = (int.from_bytes(z[:half], "little") ^ int.from_bytes(z[half:], "little")).to_bytes(half, "little")
+    return 9 * (int.from_bytes(a, "little") ^ int.from_bytes(z, "little")).bit_count() <= n + m
+
+
 def _sets(sent):
     def run(batches):
         import xxhash
@@ -72,7 +93,8 @@ def _sets(sent):
             node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in got], dtype=np.uint64).view(np.int64)
             n = pa.array([len(h) for h in got], pa.int32())
             first = pa.array([_prefix(h, *sent.value).tobytes() for h in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), n, first], names=["doc_id", "key", "node", "n", "first"])
+            bits = pa.array([sketch(h) for h in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), n, first, bits], names=["doc_id", "key", "node", "n", "first", "bits"])
 
     return run
 
@@ -102,12 +124,6 @@ def _verified(batches):
         yield b.select(["u", "v"]).filter(pa.array([similar(x, y) for x, y in zip(a, z, strict=True)], pa.bool_()))
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) of nodes that are similar; texts: (node, text)."""
-    both = pairs.distinct().join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "z"), "v").select("u", "v", "a", "z")
-    return cut(both.mapInArrow(_verified, "u long, v long"))
-
-
 def _frequent(rows: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles, in ascending order, that documents of the sample share, and their uses there; FREQUENT at most."""
     every = max(1, rows.count() // sample)
@@ -131,14 +147,33 @@ def _texts(rows: DataFrame, sets: DataFrame, asked: DataFrame, path: str) -> Dat
     return spark.read.parquet(path)
 
 
+def _likely(batches):
+    for b in batches:
+        cols = [b.column(c).to_pylist() for c in ("n", "a", "m", "z")]
+        yield b.select(["u", "v"]).filter(pa.array([may_be_similar(*x) for x in zip(*cols, strict=True)], pa.bool_()))
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+
+
+def _compared(pairs: DataFrame, rows: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+    """The pairs (u, v) of nodes that are similar: those that sketches leave are told by their texts."""
+    pairs = cut(pairs.distinct())
+    marks = sets.select("node", "n", "bits").join(_nodes(pairs), "node", "left_semi").dropDuplicates(["node"])
+    likely = cut(pairs.join(marks.toDF("u", "n", "a"), "u").join(marks.toDF("v", "m", "z"), "v").select("u", "v", "n", "a", "m", "z").mapInArrow(_likely, "u long, v long"))
+    texts = _texts(rows, sets.select("node", "key"), _nodes(likely), path)
+    both = likely.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "z"), "v").select("u", "v", "a", "z")
+    return cut(both.mapInArrow(_verified, "u long, v long"))
+
+
 def links(rows: DataFrame, sets: DataFrame, path: str) -> DataFrame:
-    """Labels (node, component) of all nodes that are similar to another; sets: (key, node, n, first)."""
+    """Labels (node, component) of all nodes that are similar to another; sets: (key, node, n, first, bits)."""
     prefix = sets.select("node", "n", "first").mapInArrow(_prefixes, "shingle long, node long, n int")
     same = Window.partitionBy("shingle")
     shared = cut(prefix.withColumn("lo", F.min("node").over(same)).withColumn("hi", F.max("node").over(same)).where("lo < hi").distinct())
-    texts = _texts(rows, sets.select("node", "key"), shared.select("node").distinct(), path)
     ends = shared.where("node <> lo").select(F.col("node").alias("u"), F.col("lo").alias("v")).union(shared.where("node <> hi and node <> lo").select("node", "hi"))
-    edges = _compared(ends, texts)
+    edges = _compared(ends, rows, sets, f"{path}-1")
     labels = components(edges)
     rest = shared.select("shingle", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = rest.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a < z").select("shingle")
@@ -146,7 +181,7 @@ def links(rows: DataFrame, sets: DataFrame, path: str) -> DataFrame:
     other = rest.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("theirs"))
     near = F.expr("5L * least(n, m) >= 4L * greatest(n, m)")
     more = rest.join(other, "shingle").where("node < other and component <> theirs").where(near).select(F.col("node").alias("u"), F.col("other").alias("v"))
-    return components(edges.unionByName(_compared(more, texts)))
+    return components(edges.unionByName(_compared(more, rows, sets, f"{path}-2")))
 
 
 def classes(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -156,7 +191,7 @@ def classes(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
     sent = spark.sparkContext.broadcast(_frequent(rows, sample))  # bounded by FREQUENT
     path = shared_path(spark, "shingles")
-    rows.mapInArrow(_sets(sent), "doc_id long, key long, node long, n int, first binary").write.parquet(f"{path}/sets")
+    rows.mapInArrow(_sets(sent), "doc_id long, key long, node long, n int, first binary, bits binary").write.parquet(f"{path}/sets")
     sets = spark.read.parquet(f"{path}/sets")
     labels = links(rows, sets, f"{path}/texts")
     out = cut(sets.select("doc_id", "key", "node").join(labels, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("class")))

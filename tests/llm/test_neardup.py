@@ -32,6 +32,20 @@ def test_similarity_at_the_bound():
     assert len(N.shingles("a b c d e f")) == 2 and len(N.shingles("A b")) == 1 and not len(N.shingles(" \n"))
 
 
+def test_sketches_lose_no_similar_pair():
+    rng = np.random.default_rng(4)
+    lost = 0
+    for n in (1, 9, 60, 64, 65, 128, 129, 1030):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        far = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for k in range(0, n // 5 + 1, max(1, n // 20)):
+            b = a[: n - k]
+            for x, y in ((a, b), (b, a)):
+                assert not N.similar(x, y) or N.may_be_similar(len(x), N.sketch(x), len(y), N.sketch(y))
+        lost += not N.may_be_similar(n, N.sketch(a), n, N.sketch(far))
+    assert lost == 8
+
+
 @pytest.mark.parametrize("sample", [1, 20_000])
 def test_stage_drops_edited_copies(spark, docs_of, monkeypatch, sample):
     rng = random.Random(3)
