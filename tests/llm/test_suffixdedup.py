@@ -1,9 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillon.llm import esa
 from quillon.llm import suffixdedup as S
 
 
@@ -47,16 +48,16 @@ def corpus():
     return [*rows, rows[30], (rows[31][0], rows[50][1])]
 
 
-@pytest.mark.parametrize(("batch", "hot"), [(3000, 2), (4000, 10**9), (10**8, 32)])
-def test_against_brute_force(docs_of, batch, hot):
+@pytest.mark.parametrize(("batch", "chunk"), [(3000, 4), (3000, 10**9), (10**8, 4)])
+def test_against_brute_force(docs_of, batch, chunk):
     rows = corpus()
-    got = S.removed_spans(docs_of(rows), batch_bytes=batch, hot_batches=hot)
+    got = S.removed_spans(docs_of(rows), batch_bytes=batch, chunk=chunk)
     assert sorted(tuple(r) for r in got.collect()) == slow(rows)
 
 
 def test_cleaned_texts_keep_columns(docs_of):
     rows = [(1, "é" * 60 + "tail one"), (2, "head two " + "é" * 60), (3, None), (4, "y" * 49)]
-    docs = docs_of(rows).selectExpr("*", "7 as batch", "'k' as bucket")
+    docs = docs_of(rows).selectExpr("*", "7 as batch", "'k' as bucket", "1 as deal", "2 as salts", "3 as rest", "4 as key", "5 as data")
     got = S.suffix_dedup(docs)
     assert got.columns == docs.columns
     out = {r.doc_id: (r.text, r.batch) for r in got.collect()}
@@ -64,19 +65,32 @@ def test_cleaned_texts_keep_columns(docs_of):
     assert S.removed_spans(docs_of([])).count() == 0
 
 
-def test_maximal_repeats():
-    rng = random.Random(8)
-    for _ in range(30):
-        texts = ["".join(rng.choices("ab", k=rng.randint(0, 14))).encode() for _ in range(3)]
-        occ = {}
-        for t, x in enumerate(texts):
-            for i in range(len(x)):
-                for j in range(i + 2, len(x) + 1):
-                    occ.setdefault(x[i:j], []).append((t, i))
-        want = []
-        for s, at in occ.items():
-            left = {texts[t][i - 1] if i else (t, i) for t, i in at}
-            right = {texts[t][i + len(s)] if i + len(s) < len(texts[t]) else (t, i) for t, i in at}
-            if len(at) > 1 and len(left) > 1 and len(right) > 1:
-                want.append((s, sorted(at)))
-        assert sorted(esa.maximal_repeats(texts, 2)) == sorted(want)
+
+def test_few_hashes_stay_exact(docs_of, monkeypatch):
+    mix = S._mix
+    monkeypatch.setattr(S, "_mix", lambda x: mix(x) & np.uint64(0xE000000000000003))
+    rows = [(d, (t or "")[:400]) for d, t in corpus()[:120]]
+    got = {}
+    b = S.Batch(pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows]}))
+    for d, s, z in zip(b.doc, b.starts, b.ends, strict=True):
+        got.setdefault(int(d), []).append(int(b.covered()[s:z].sum()))
+    want = {}
+    for d, _, n, *_ in slow(rows):
+        want.setdefault(d, []).append(n)
+    assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in want.items()}
+
+
+def test_windows_that_several_chunks_leave():
+    """What buckets of one dealt gram leave meets by its bytes, also where all hashes are alike."""
+    texts = [b"p" * 60, b"p" * 60, b"q" * 60]
+    rows = []
+    for i, t in enumerate(texts):
+        buf = np.frombuffer(t, np.uint8)
+        w = np.lib.stride_tricks.sliding_window_view(buf, 50)
+        n = len(w)
+        data = S.squeezed(np.full(n, i), np.arange(n), np.full(n, i + 1, dtype=np.uint64) ^ np.uint64(1 << 63))
+        rows.append((0, -1, data, S.zstandard.compress(w.tobytes())))
+    out = S._last_answers(S._table([*rows, (0, 9, b"kept", None)], "key batch data text"))
+    assert out.column("batch").to_pylist() == [9, 1]
+    at, n = S.unsqueezed(out.column("data")[1].as_py())
+    assert len(at) == 11 and n.tolist() == [1] * 11
