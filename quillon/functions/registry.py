@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import asyncio
+from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from quillon.operators.actions import execute, run_on_one
 
@@ -29,6 +30,16 @@ def import_plan(spark: SparkSession, name: str, *args: Any) -> DataFrame:
     return _PLANS[name](spark, *args)
 
 
+def stream_plan(spark: SparkSession, name: str, *args: Any) -> Iterator[Row]:
+    """The rows of a named plan as they come, a partition at a time, for a caller that does not hold them all."""
+    yield from import_plan(spark, name, *args).toLocalIterator(prefetchPartitions=True)
+
+
+async def call_async(spark: SparkSession, name: str, *args: Any, everywhere: bool = False) -> Any:
+    """As call, awaited: several calls run side by side."""
+    return await asyncio.to_thread(call, spark, name, *args, everywhere=everywhere)
+
+
 def register_call(name: str, f: Callable[..., Any]) -> None:
     _CALLS[name] = f
 

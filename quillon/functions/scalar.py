@@ -38,6 +38,34 @@ def version_text(ts: Expr) -> Column:
     return F.date_format(col(ts), "yyMMdd_HHmmss.SSSSSS")
 
 
+def version_time(text: Expr) -> Column:
+    """The time that version_text wrote."""
+    return F.to_timestamp(col(text), "yyMMdd_HHmmss.SSSSSS")
+
+
+def sha512(x: Expr) -> Column:
+    return F.sha2(col(x).cast("binary"), 512)
+
+
+def encrypted(x: Expr, key: Expr) -> Column:
+    """AES in GCM with a random start, as bytes; the key has 16, 24 or 32 bytes."""
+    return F.aes_encrypt(col(x).cast("binary"), col(key).cast("binary"))
+
+
+def decrypted(x: Expr, key: Expr) -> Column:
+    return F.aes_decrypt(col(x), col(key).cast("binary")).cast("string")
+
+
+def filled(amount: float, limits: list[float]) -> list[float]:
+    """Shares of an amount for holders with limits: all get the same, those whose limit is less get their limit."""
+    out, left = [0.0] * len(limits), amount
+    order = sorted(range(len(limits)), key=lambda i: limits[i])
+    for k, i in enumerate(order):
+        out[i] = min(limits[i], left / (len(order) - k))
+        left -= out[i]
+    return out
+
+
 def stable_id(text: Expr) -> Column:
     """A 128-bit identity of a text, as hex digits."""
     return F.md5(col(text).cast("binary"))

@@ -10,6 +10,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from quillon.operators.transforms import Expr, col, named
 from quillon.runtime import cut
@@ -56,11 +57,9 @@ def reduce_rows(df: DataFrame, value: Expr, merge: Callable[[Column, Column], Co
         if not got.n:
             raise ValueError("No result: the dataset is empty")
         return got.v
-    left = df.select(col(value).alias("v"))
+    left = df.select(col(value).alias("v")).where("v is not null")
     while True:
-        place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-        own = left.select("v", F.spark_partition_id().alias("p"), F.floor(place / CHUNK).alias("c"))
-        lists = own.groupBy("p", "c").agg(F.collect_list("v").alias("vs")).where("size(vs) > 0")
+        lists = _lists(left)
         rest = F.slice("vs", 2, F.greatest(F.size("vs") - 1, F.lit(0)))
         left = cut(lists.select(F.reduce(rest, F.col("vs")[0], merge).alias("v")))
         n = left.count()
@@ -71,6 +70,37 @@ def reduce_rows(df: DataFrame, value: Expr, merge: Callable[[Column, Column], Co
         left = left.repartition(-(-n // CHUNK))
 
 
+def _lists(values: DataFrame) -> DataFrame:
+    """Lists of up to CHUNK values, made where the values lie: nothing is moved."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, CHUNK):
+                own = b.column(0).slice(at, CHUNK)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], names=["vs"])
+
+    return values.mapInArrow(run, StructType([StructField("vs", ArrayType(values.schema["v"].dataType))]))
+
+
+def reduce_by_key_with(df: DataFrame, keys: list[str], value: Expr, merge: Callable[[Column, Column], Column], name: str = "value") -> DataFrame:
+    """One value for each key by a Column merge of one's own, associative and commutative; it sees no nulls.
+
+    Values are merged in lists of up to ``CHUNK`` for each key and task-sized chunk, then those results again, until each
+    key has one: a key with very many values is merged by as many tasks as it has chunks.
+    """
+    left = df.select(*keys, col(value).alias("_v")).where("_v is not null")
+    rest = F.slice("_vs", 2, F.greatest(F.size("_vs") - 1, F.lit(0)))
+    while True:
+        own = left.withColumn("_c", F.floor(F.monotonically_increasing_id() / CHUNK))
+        lists = own.groupBy(*keys, "_c").agg(F.collect_list("_v").alias("_vs"))
+        merged = cut(lists.select(*keys, F.reduce(rest, F.col("_vs")[0], merge).alias("_v")))
+        most = merged.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if most <= CHUNK:
+            last = merged.groupBy(*keys).agg(F.collect_list("_v").alias("_vs"))
+            return last.select(*keys, F.reduce(rest, F.col("_vs")[0], merge).alias(name))
+        left = merged.repartition(*keys).sortWithinPartitions(*keys)  # a key's results lie together in the next round
+
+
 def reduce_by_key(df: DataFrame, keys: list[str], **aggs: Expr) -> DataFrame:
     """Built-in aggregates by key, combined before the shuffle."""
     return df.groupBy(*keys).agg(*named(aggs))

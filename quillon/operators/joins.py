@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.layout import multicast
-from quillon.operators.transforms import Expr, col, named
+from quillon.operators.layout import BROADCAST_BYTES, multicast
+from quillon.operators.transforms import Expr, col, named, unused
 
 
 def merge_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner", one_to_one: bool = False, order_a: list[str] | None = None, order_b: list[str] | None = None, **exprs: Expr) -> DataFrame:
@@ -21,10 +21,11 @@ def merge_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner",
         raise ValueError("how is 'inner', 'left' or 'right'")
     on = list(keys)
     if one_to_one:
-        a, b = (d.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*(o or keys)))) for d, o in ((a, order_a), (b, order_b)))
-        on.append("_nth")
+        nth = unused("_nth", a, b)
+        a, b = (d.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(*(o or keys)))) for d, o in ((a, order_a), (b, order_b)))
+        on.append(nth)
     out = a.join(b, on, how)
-    return out.select(*named(exprs)) if exprs else out.drop("_nth")
+    return out.select(*named(exprs)) if exprs else (out.drop(nth) if one_to_one else out)
 
 
 def inner_join(a: DataFrame, b: DataFrame, keys: list[str], **more) -> DataFrame:
@@ -59,15 +60,18 @@ def cross_join_fold(x: DataFrame, small: DataFrame, keys: list[str], aggs: dict[
     """
     if empty is None:
         return x.crossJoin(multicast(small)).groupBy(*keys).agg(*named(aggs))
-    paired = x.join(multicast(small.withColumn("_there", F.lit(1))), F.lit(True), "left")
-    got = paired.groupBy(*keys).agg(*named(aggs), F.count("_there").alias("_n"))
-    return got.select(*keys, *[F.when(F.col("_n") > 0, F.col(k)).otherwise(col(empty[k])).alias(k) for k in aggs])
-
-
-def cross_join_fold_array(x: DataFrame, small: DataFrame, seed: Expr, step: Callable[[Column, Column], Column], name: str, limit_rows: int = 100_000) -> DataFrame:
-    """As cross_join_fold with any Column step and no shuffle: the other side, of a checked number of rows, is one array."""
-    n = small.limit(limit_rows + 1).count()
-    if n > limit_rows:
-        raise ValueError(f"the folded side has more than {limit_rows} rows; use cross_join_fold")
-    one = small.agg(F.array_sort(F.collect_list(F.struct(*small.columns))).alias("_all"))
-    return x.crossJoin(F.broadcast(one)).withColumn(name, F.aggregate("_all", col(seed), step)).drop("_all")  # one row, limit_rows elements
+    there = unused("_there", x, small)
+    paired = x.join(multicast(small.withColumn(there, F.lit(1))), F.lit(True), "left")
+    got = paired.groupBy(*keys).agg(*named(aggs), F.count(there).alias(there))
+    return got.select(*keys, *[F.when(F.col(there) > 0, F.col(k)).otherwise(col(empty[k])).alias(k) for k in aggs])
+
+
+def cross_join_fold_array(x: DataFrame, small: DataFrame, seed: Expr, step: Callable[[Column, Column], Column], name: str, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """As cross_join_fold with any Column step and no shuffle: the other side, of checked bytes, is one array."""
+    sizes = small.select(F.octet_length(F.to_json(F.struct(*small.columns))).alias("n"))
+    told = sizes.agg(F.sum("n")).first()[0] or 0
+    if told > limit_bytes:
+        raise ValueError(f"the folded side has more than {limit_bytes} bytes; use cross_join_fold")
+    every = unused("_all", x, small)
+    one = small.agg(F.array_sort(F.collect_list(F.struct(*small.columns))).alias(every))
+    return x.crossJoin(F.broadcast(one)).withColumn(name, F.aggregate(every, col(seed), step)).drop(every)  # one row, limit_bytes as text

@@ -6,7 +6,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators.transforms import Expr, col, map_batches
+from quillon.operators.position import overall
+from quillon.operators.transforms import Expr, col, map_batches, unused
 
 #: Largest estimate of a plan's bytes for which a side is broadcast; beyond it Spark chooses another way.
 BROADCAST_BYTES = 64 << 20
@@ -36,16 +37,20 @@ def repartition_by_key(df: DataFrame, n: int, *keys: str) -> DataFrame:
 
 
 def repartition_by_unique_key(df: DataFrame, key: str, most: int = 10_000) -> DataFrame:
-    """A partition for each distinct key, in order of the keys; refuses more than ``most`` keys."""
-    keys = [r[0] for r in df.select(key).distinct().limit(most + 1).collect()]
-    if len(keys) > most:
-        raise ValueError(f"{key} has more than {most} distinct values")
-    keys.sort(key=lambda k: (k is None, k))
-    if not keys:
+    """A partition for each distinct key, in order of the keys, nulls last.
+
+    More than ``most`` keys share that many partitions: key number k in order goes to partition k % most, so a key is
+    still in one partition. Keys are numbered without bringing them to the driver.
+    """
+    to, at = unused("_to", df), unused("_key", df)
+    keys = df.select(F.col(key).alias(at)).distinct()
+    place = overall(keys, F.col(at).asc_nulls_last(), name=to)
+    n = place.count()
+    if not n:
         return df
-    place = df.sparkSession.createDataFrame(list(enumerate(keys)), df.select(F.lit(0).alias("_to"), key).schema)
-    joined = df.join(F.broadcast(place), df[key].eqNullSafe(place[key])).drop(place[key])  # most rows at most
-    return joined.repartitionById(len(keys), F.col("_to")).drop("_to")
+    place = place.withColumn(to, (F.col(to) % most).cast("int"))
+    joined = df.join(F.broadcast(place) if n <= most else place, df[key].eqNullSafe(place[at])).drop(at)  # most rows at most
+    return joined.repartitionById(min(n, most), F.col(to)).drop(to)
 
 
 def rows_reorg(df: DataFrame, n: int) -> DataFrame:

@@ -25,6 +25,14 @@ def named(exprs: dict[str, Expr]) -> list[Column]:
     return [col(e).alias(k) for k, e in exprs.items()]
 
 
+def unused(name: str, *dfs: DataFrame) -> str:
+    """A name like this that no column has."""
+    taken = {c.lower() for d in dfs for c in d.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def identity(df: DataFrame) -> DataFrame:
     return df.select("*")
 

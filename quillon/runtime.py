@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -46,17 +47,23 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, str(p.relative_to(root.parent)))
         sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
-    # Texts differ in length by four orders of magnitude, so batches are bounded by rows and by bytes.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    # Texts differ in length by four orders of magnitude, so batches are bounded by rows and by bytes; what the session
+    # has been given stays.
+    for key, usual, ours in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", None, str(16 << 20))):
+        name = f"spark.sql.execution.arrow.{key}"
+        if sc.getConf().get(name, None) is None and (usual is None or spark.conf.get(name) == usual):
+            spark.conf.set(name, ours)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. A local session that names none gets one of its own; any other
+    session must name it in spark.checkpoint.dir."""
     sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None)
+    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        d = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="quillon_ck")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
+        d = tempfile.mkdtemp(prefix="quillon_ck")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d

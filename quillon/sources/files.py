@@ -24,12 +24,17 @@ def folder(spark: SparkSession, path: str, pattern: str = "*", recursive: bool =
 def lines(spark: SparkSession, path: str, totals: bool = False) -> DataFrame:
     """(file, line, content), lines from 1; with ``totals`` a last row (file, lines, null) for each file.
 
-    A file is numbered as a whole: its lines are split inside one row, so files should be of a size that a task holds.
+    Files are read in splits: lines are numbered inside each, and moved up by the lines of the splits before, of which
+    there is a row each. A file of any size is read by many tasks. Empty files give no line and no total.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split(F.regexp_replace("value", "\r?\n\\z", ""), "\r?\n").alias("ls"))
-    out = whole.select("file", F.posexplode("ls").alias("line", "content")).withColumn("line", F.col("line").cast("long") + 1)
+    at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    read = spark.read.text(path).select(at.alias("at"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("content"))
+    splits = read.groupBy("at").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("at.path").orderBy("at.start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    out = read.join(splits, "at").select(F.col("at.file").alias("file"), (F.col("id") - F.col("first") + F.col("base") + 1).alias("line"), "content")
     if totals:
-        out = out.unionByName(whole.select("file", F.size("ls").cast("long").alias("line"), F.lit(None).cast("string").alias("content")))
+        out = out.unionByName(splits.groupBy("at").agg(F.sum("n").alias("n")).groupBy("at.path", "at.file").agg(F.sum("n").alias("line")).select("file", "line", F.lit(None).cast("string").alias("content")))
     return out
 
 

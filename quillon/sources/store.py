@@ -25,7 +25,7 @@ class Store:
 
     def save(self, df: DataFrame, name: str, version: int | None = None, partition_by: list[str] | None = None) -> str:
         """Write at once; the version is the time unless given."""
-        path = f"{self.root}/{name}/{version or time.time_ns():020d}"
+        path = f"{self.root}/{name}/{time.time_ns() if version is None else version:020d}"
         w = df.write.mode("overwrite")
         (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
         return path
@@ -65,7 +65,7 @@ class Store:
     def path(self, name: str, version: int | None = None) -> str:
         found = [p for p in self._list(name) if version is None or p.endswith(f"/{version:020d}")]
         if not found:
-            raise FileNotFoundError(f"no dataset {name}" + (f" of version {version}" if version else ""))
+            raise FileNotFoundError(f"no dataset {name}" + ("" if version is None else f" of version {version}"))
         return found[-1]
 
     def load(self, name: str, version: int | None = None) -> DataFrame:

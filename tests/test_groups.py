@@ -83,8 +83,12 @@ def test_cross_joins(spark):
     assert odd.count() == 256 and odd.where("s % 2 = 0").isEmpty()
     folded = joins.cross_join_fold(x, y, ["a"], {"s": "sum(a + b)"})
     assert all(r.s == 8 * r.a + 28 for r in folded.collect())
-    with pytest.raises(ValueError, match="rows"):
-        joins.cross_join_fold_array(x, y, "0L", lambda s, b: s, "s", limit_rows=3)
+    with pytest.raises(ValueError, match="bytes"):
+        joins.cross_join_fold_array(x, y, "0L", lambda s, b: s, "s", limit_bytes=30)
+    named = spark.createDataFrame([(1, 2, 3)], "k int, _nth int, _all int")
+    assert joins.inner_join(named, named.toDF("k", "other", "third"), ["k"]).columns == ["k", "_nth", "_all", "other", "third"]
+    assert joins.merge_join(named, named.select("k", "_all").toDF("k", "w"), ["k"], one_to_one=True).first()["_nth"] == 2
+    assert joins.cross_join_fold_array(named, y, "0L", lambda s, b: s + b["b"], "s").first()["_all"] == 3
 
 
 def test_multicast_checks_size(spark):
@@ -140,8 +144,9 @@ def test_unique_key_partitions(spark):
     placed = layout.repartition_by_unique_key(df, "k")
     assert placed.count() == 41
     assert placed.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct(F.coalesce("k", F.lit(-1))).alias("n")).where("n <> 1").isEmpty()
-    with pytest.raises(ValueError, match="distinct"):
-        layout.repartition_by_unique_key(df, "v", most=3)
+    many = layout.repartition_by_unique_key(df, "v", most=3)  # keys share partitions, each being in one
+    assert many.count() == 41 and many.rdd.getNumPartitions() == 3
+    assert {r.p: r.n for r in many.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()} == {0: 14, 1: 14, 2: 13}
 
 
 def test_cache_stops_recomputation(spark):
@@ -159,3 +164,69 @@ def test_cache_stops_recomputation(spark):
 def test_take_stops_early(spark):
     df = generate.source_i(spark, 4, lambda i: ([1] * 100001), "v int")
     assert [len(sorting.take(df, n)) for n in (10, 100)] == [10, 100]
+
+
+def test_reducer_of_ones_own_by_key(spark):
+    rows = [(k % 3, k) for k in range(20_000)] + [(7, None), (None, 5)]
+    df = spark.createDataFrame(rows, "k int, v long")
+    got = {r.k: r.value for r in aggregates.reduce_by_key_with(df, ["k"], "v", lambda a, b: F.greatest(a, b)).collect()}
+    assert got == {0: 19998, 1: 19999, 2: 19997, None: 5}
+
+
+def test_helpers(spark):
+    from quillon.functions import scalar
+
+    assert scalar.filled(10, [1, 20, 4]) == [1, 5, 4] and scalar.filled(3, []) == []
+    df = spark.sql("select timestamp'2024-05-06 07:08:09.123456' as t, 'secret' as s")
+    got = df.select(scalar.version_time(scalar.version_text("t")).alias("t"), F.col("t").alias("u"), scalar.decrypted(scalar.encrypted("s", "'0123456789abcdef'"), "'0123456789abcdef'").alias("s"), scalar.sha512("s").alias("h")).first()
+    assert got.t == got.u and got.s == "secret" and len(got.h) == 128
+
+
+def test_calls_and_streams(spark):
+    import asyncio
+
+    from quillon.functions import registry
+
+    registry.register_plan("up to", lambda s, n: s.range(n))
+    rows = registry.stream_plan(spark, "up to", 5)
+    assert next(rows).id == 0 and [r.id for r in rows] == [1, 2, 3, 4]
+    registry.register_call("twice", lambda x: 2 * x)
+
+    async def both():
+        return await asyncio.gather(*(registry.call_async(spark, "twice", k) for k in (1, 2)))
+
+    assert asyncio.run(both()) == [2, 4]
+
+
+def test_shared_folder_is_named_on_a_cluster(monkeypatch, tmp_path):
+    from quillon import runtime
+
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "local-cluster[3,2,1000]"
+
+            class conf:  # noqa: N801
+                get = staticmethod(lambda key, other: other)
+
+            getConf = staticmethod(lambda: Session.sparkContext.conf)  # noqa: N815
+            getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Session)
+
+
+def test_lines_in_splits(spark, tmp_path):
+    from quillon.sources import files
+
+    (tmp_path / "a.log").write_text("".join(f"line {i}\n" for i in range(5000)))
+    (tmp_path / "b.log").write_text("x\r\ny")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = files.lines(spark, str(tmp_path), totals=True)
+        rows = sorted((r.file, r.line, r.content) for r in got.where("content is not null").collect())
+        assert got.rdd.getNumPartitions() > 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == sorted([("a.log", i + 1, f"line {i}") for i in range(5000)] + [("b.log", 1, "x"), ("b.log", 2, "y")])
+    assert sorted((r.file, r.line) for r in got.where("content is null").collect()) == [("a.log", 5000), ("b.log", 2)]
