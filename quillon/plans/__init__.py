@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rows", "grouped", "joined", "combined", "placed", "made", "pipelines")
+MODULES = ("rows", "grouped", "joined", "combined", "placed", "made", "pipelines", "scenarios")
 
 
 def queries() -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,10 @@ def histogram_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tally(state: dict, row: dict) -> dict:
-    state[row["event_type"]] = state.get(row["event_type"], 0) + 1
+    """Values of the props' JSON by kind, as Python reads them."""
+    for key, value in json.loads(row["props"] or "{}").items():
+        kind = (key, type(value).__name__)
+        state[kind] = state.get(kind, 0) + 1
     return state
 
 
@@ -52,11 +57,20 @@ def _join(a: dict, b: dict) -> dict:
     return {k: a.get(k, 0) + b.get(k, 0) for k in {*a, *b}}
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+_KINDS = "CASE json_type(props, '$.' || k) WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'DOUBLE' THEN 'float' WHEN 'NULL' THEN 'NoneType' WHEN 'OBJECT' THEN 'dict' WHEN 'ARRAY' THEN 'list' ELSE 'int' END"
+
+
+@query(f"SELECT k AS key, {_KINDS} AS kind, count(*) AS n FROM (SELECT props, unnest(json_keys(props)) AS k FROM events) GROUP BY ALL")
 def fold_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dictionary as state, one for each partition."""
-    got = aggregates.fold_python(table(spark, sf_dir, "events").select("event_type"), _tally, _join, {})
-    return spark.createDataFrame(sorted(got.items()), "event_type string, n long")
+    """A dictionary as state, one for each partition, and a step that columns have no types for."""
+    got = aggregates.fold_python(table(spark, sf_dir, "events").select("props"), _tally, _join, {})
+    return spark.createDataFrame([(*k, n) for k, n in sorted(got.items())], "key string, kind string, n long")
+
+
+@query("SELECT o_custkey, CAST(bit_xor(o_orderkey * 31) AS BIGINT) AS x FROM orders GROUP BY o_custkey")
+def reduce_by_key_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reducer of one's own by key, as a Column function."""
+    return aggregates.reduce_by_key_with(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey * 31", lambda a, b: a.bitwiseXOR(b), "x")
 
 
 _REVENUE = "cast(sum(cast(l_extendedprice * (1 - l_discount) as decimal(20,4))) as double)"
@@ -84,10 +98,10 @@ def group_by_key_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT word AS k, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY word")
 def map_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of each word: a document gives each of its words once, so counts are combined before the shuffle."""
+    """Documents of each word: a row gives each of its words once, and a doc_id counts once."""
     docs = table(spark, sf_dir, "documents")
     pairs = F.transform(F.array_distinct(words("text")), lambda w: F.struct(w.alias("k"), F.col("doc_id").alias("v")))
-    return aggregates.map_reduce(docs.dropDuplicates(["doc_id", "text"]), pairs, aggs={"docs": "count(1)"})
+    return aggregates.map_reduce(docs, pairs, aggs={"docs": "count(distinct v)"})
 
 
 @query("SELECT o_orderpriority AS k, CAST(sum(o_custkey % 100) AS BIGINT) AS v FROM orders GROUP BY o_orderpriority")

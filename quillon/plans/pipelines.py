@@ -9,17 +9,23 @@ from quillon.dataset import Dataset
 from quillon.functions.scalar import logistic, squared_distance, words, zero_if_nan
 from quillon.operators import aggregates, joins
 from quillon.plans.entry import catalogue
-from quillon.runtime import table
+from quillon.runtime import remove, shared_path, table
+from quillon.sources.store import Store
 from quillon.streaming.events import sessions, windowed
 
 QUERIES, ORACLE, query = catalogue()
 
 
 @query("SELECT count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE lower(w) = 'der'")
-def word_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store → load → flat map → filter → count, the word being a parameter."""
-    flat = Dataset(table(spark, sf_dir, "documents")).flat_map(words("text"), "w")
-    return flat.filter("lower(w) = 'der'").fold(n="count(1)").df
+def word_match(spark: SparkSession, sf_dir: str, word: str = "der") -> DataFrame:
+    """Texts are stored and loaded, cut to words, and those that match are counted."""
+    root = shared_path(spark, "words")
+    store = Store(spark, root)
+    store.save(table(spark, sf_dir, "documents").select("text"), "texts")
+    flat = Dataset(store.load("texts")).flat_map(words("text"), "w")
+    n = flat.filter(F.lower("w") == word).count()
+    remove(spark, root)
+    return spark.createDataFrame([(n,)], "n long")
 
 
 _NB = """
