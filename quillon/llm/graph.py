@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.runtime import cut
@@ -37,13 +37,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def gapless_rank(df: DataFrame, keys: list[str], order: list[str], out: str = "rank", salts: int = 64) -> DataFrame:
-    """0-based positions within ``keys``, gapless, with each key dealt over ``salts`` tasks.
+#: Rows of a key that one task ranks, about.
+RANKED_ROWS = 200_000
+
+
+def salts_for(rows: int) -> int:
+    """Over how many tasks the rows of a key are dealt."""
+    return 16 + rows // RANKED_ROWS
+
+
+def gapless_rank(df: DataFrame, keys: list[str], order: list[str], out: str = "rank", salts: Column | int = 64) -> DataFrame:
+    """0-based positions within ``keys``, gapless, with each key dealt over ``salts`` tasks (a number, or one for each key).
 
     Order inside a salt follows ``order``; between salts it is the salt's number, so any total numbering is reached
     without sorting one key's rows in one task. ``order`` must identify rows of a key (ties would be numbered freely).
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts) if isinstance(salts, int) else salts).cast("int"))
     sizes = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
