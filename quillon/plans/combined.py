@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.dataset import Dataset
 from quillon.operators import combine
-from quillon.operators.position import overall
 from quillon.plans.entry import catalogue
 from quillon.runtime import table
 
@@ -28,32 +26,30 @@ def split_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine.rejoin(combine.split(table(spark, sf_dir, "part"), {"p_partkey": "p_partkey", "p_name": "p_name"}, {"size2": "p_size * 2"}, {"dearer": "p_retailprice + 1"}))
 
 
-_ROWS = "row_number() OVER (ORDER BY {k}) AS i"
-_ZIP = f"""
-WITH a AS (SELECT s_suppkey, s_nationkey, {_ROWS.format(k="s_suppkey")} FROM supplier),
-b AS (SELECT c_custkey, c_nationkey, {_ROWS.format(k="c_custkey")} FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT (SELECT count(*) FROM supplier)))
+_ZIP = """
+WITH a AS (SELECT o_orderkey AS early, o_custkey AS k, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
+b AS (SELECT o_orderkey AS cheap, o_custkey AS m, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS i FROM orders)
 """
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Suppliers, and as many customers: those of the least keys, told by their places so that no task sorts them all."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    c = overall(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey", name="_place")
-    return [s, c.where(F.col("_place") < s.count()).drop("_place")]
+    """All orders twice, to be lined up by their dates and by their prices."""
+    orders = table(spark, sf_dir, "orders")
+    return [orders.selectExpr("o_orderkey as early", "o_custkey as k", "o_orderdate as since"), orders.selectExpr("o_orderkey as cheap", "o_custkey as m", "o_totalprice as price")]
 
 
-@query(_ZIP + "SELECT s_suppkey, c_custkey, CAST(s_nationkey + c_nationkey AS INTEGER) AS nations FROM a JOIN b USING (i)")
+@query(_ZIP + "SELECT early, cheap, k + m AS customers FROM a JOIN b USING (i)")
 def zip_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return combine.zip_rows(_sides(spark, sf_dir), [["s_suppkey"], ["c_custkey"]], s_suppkey="s_suppkey", c_custkey="c_custkey", nations="s_nationkey + c_nationkey")
+    return combine.zip_rows(_sides(spark, sf_dir), [["since", "early"], ["price", "cheap"]], early="early", cheap="cheap", customers="k + m")
 
 
-@query(_ZIP + ", c AS (SELECT s_suppkey AS other, row_number() OVER (ORDER BY s_suppkey DESC) AS i FROM supplier) SELECT s_suppkey, c_custkey, other FROM a JOIN b USING (i) JOIN c USING (i)")
+@query(_ZIP + ", c AS (SELECT o_orderkey AS other, row_number() OVER (ORDER BY o_orderkey DESC) AS i FROM orders) SELECT early, cheap, other FROM a JOIN b USING (i) JOIN c USING (i)")
 def mix_three(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structs of three sides, the third one backwards."""
+    """Structs of three whole sides, the third one backwards."""
     sides = _sides(spark, sf_dir)
-    back = sides[0].selectExpr("s_suppkey as other", "-s_suppkey as place")
-    got = combine.mix([*sides, back], ["a", "b", "c"], orders=[["s_suppkey"], ["c_custkey"], ["place"]])
-    return got.select("a.s_suppkey", "b.c_custkey", "c.other")
+    back = sides[0].selectExpr("early as other", "-early as place")
+    got = combine.mix([*sides, back], ["a", "b", "c"], orders=[["since", "early"], ["price", "cheap"], ["place"]])
+    return got.select("a.early", "b.cheap", "c.other")
 
 
 @query("SELECT 'all' AS branch, count(*) AS n FROM events UNION ALL SELECT 'errors', count(*) FROM events WHERE event_type = 'error' UNION ALL SELECT 'users', count(DISTINCT user_id) FROM events")
