@@ -5,10 +5,13 @@ its segmentations into pieces, by the forward algorithm; a text's is the product
 are fitted by expectation maximisation on word counts of labelled training documents: forward and backward sums give
 expected piece counts, Spark adds them up, and languages times vocabulary numbers reach the driver.
 
+The sums are scaled every few letters, so words of any length are taken whole, with all pieces of the vocabulary.
+
 The fit takes ``TRAIN_DOCS`` documents of each language at most, picked by a hash of doc_id; scores cover every whole
-text. Null texts and texts without a letter are ``und`` with score 0, and so is everything where nothing could be
-learned. Letters outside the vocabulary cost the same in every language. Repeated rows are scored each; an empty
-table gives no rows.
+text. Letters are characters of the category L. Null texts and texts without a letter are ``und`` with score 0, and so is
+everything where nothing could be learned. Letters outside the vocabulary cost the same in every language. Of languages
+with the same likelihood the first by name is told. Repeated rows are scored each, with a null doc_id too; extra columns
+of any name are ignored, or kept by the stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,14 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.memory import give_back
+from quillon.llm.memory import claim, give_back, remembers
 from quillon.runtime import ship, table
 
 TRAIN_DOCS = 2000
 ROUNDS = 2
-LONGEST = 10
-#: Words are cut after so many letters, so that no product of probabilities vanishes.
-CUT = 24
+#: Letters between two scalings of the sums.
+STEP = 8
+#: Letters times languages that are in memory at once; one longer word is taken alone.
+LETTERS = 600_000
+#: A word of more letters is taken in steps of so many, the sums being carried on; the fit leaves such words out.
+SEGMENT = 20_000
 CACHE_WORDS = 500_000
 #: A document stays in the pipeline if its language is told with this posterior at least.
 KEEP = 0.5
@@ -39,6 +45,14 @@ _VOCAB: dict[str | None, "Pieces"] = {}
 _SCORERS: dict[str, "Scorer"] = {}
 
 
+def _forget() -> None:
+    _VOCAB.clear()
+    _SCORERS.clear()
+
+
+remembers("langid", _forget)
+
+
 def vocabulary(path: str | None = None) -> Pieces:
     """Pieces of letters with their ids; a word begins with the mark of a space."""
     if path not in _VOCAB:
@@ -47,7 +61,7 @@ def vocabulary(path: str | None = None) -> Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
         pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i)))
-        own = sorted({p for p in pieces if p.lower() == p and p.lstrip("▁").isalpha() and len(p) <= LONGEST})
+        own = sorted({p for p in pieces if p.lower() == p and p.lstrip("▁").isalpha()})
         _VOCAB[path] = Pieces({p: i + 1 for i, p in enumerate(own)})  # 0 stands for any other letter
     return _VOCAB[path]
 
@@ -58,7 +72,8 @@ class Pieces(dict):
     def __init__(self, ids: dict[str, int]):
         super().__init__(ids)
         self.tables = []
-        for k in range(1, LONGEST + 1):
+        self.longest = max(map(len, ids), default=1)
+        for k in range(1, self.longest + 1):
             own = [(p, i) for p, i in ids.items() if len(p) == k]
             h = np.zeros(len(own), dtype=np.uint64)
             for c in _codes("".join(p for p, _ in own)).reshape(-1, k).T:
@@ -96,7 +111,7 @@ def lattice(words: list[str], vocab: dict[str, int]) -> dict[tuple[int, int], tu
     room = size[owner] - at
     live, h = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64)
     keys, owners, pieces = [], [], []
-    for k in range(1, LONGEST + 1):
+    for k in range(1, vocab.longest + 1):
         keep = room[live] >= k
         live, h = live[keep], h[keep]
         h = h * _BASE + codes[live + k - 1]
@@ -114,42 +129,120 @@ def lattice(words: list[str], vocab: dict[str, int]) -> dict[tuple[int, int], tu
     return {(int(e) >> 8, int(e) & 255): (own[o], piece[o]) for e, o in zip(edges, np.split(order, first[1:]), strict=True)} if len(edges) else {}
 
 
-def forward(words: list[str], edges: dict, probs: np.ndarray) -> np.ndarray:
-    """alpha[position, word, language]: the sum over segmentations up to each position."""
+def _scaled(alpha: np.ndarray, scale: np.ndarray, now: np.ndarray, lo: int, hi: int) -> None:
+    """Make the greatest of the sums at the places lo..hi-1 one for each word and language; ``now`` is their log scale."""
+    top = alpha[lo:hi].max(0)
+    top[top == 0] = 1
+    alpha[lo:hi] /= top
+    now += np.log(top)
+    scale[lo:hi] = now
+
+
+def forward(words: list[str], edges: dict, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha, scale)[position, word, language]: alpha * exp(scale) is the sum over segmentations up to each position."""
     alpha = np.zeros((max(map(len, words), default=0) + 1, len(words), probs.shape[1]))
+    scale, now = np.zeros_like(alpha), np.zeros(alpha.shape[1:])
     alpha[0] = 1
+    longest, done = max((k for _, k in edges), default=1), 0
     for (j, k), (w, p) in edges.items():
+        if j > done:
+            if done and done % STEP == 0:
+                _scaled(alpha, scale, now, max(0, done - longest + 1), done + 1)
+            done, scale[j] = j, now
         alpha[j, w] += alpha[j - k, w] * probs[p]
-    return alpha
+    return alpha, scale
+
+
+def _backward(words: list[str], edges: dict, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the ends of the words on."""
+    beta = np.zeros((max(map(len, words), default=0) + 1, len(words), probs.shape[1]))
+    scale, now = np.zeros_like(beta), np.zeros(beta.shape[1:])
+    beta[[len(w) for w in words], np.arange(len(words))] = 1
+    longest, done = max((k for _, k in edges), default=1), len(beta)
+    # by start, the later ones first: what a start needs is whole then
+    for (j, k), (w, p) in sorted(edges.items(), key=lambda e: e[0][1] - e[0][0]):
+        if j - k < done:
+            if done < len(beta) and done % STEP == 0:
+                _scaled(beta, scale, now, done, min(len(beta), done + longest))
+            done = j - k
+            scale[done] = now
+        beta[j - k, w] += beta[j, w] * probs[p]
+    return beta, scale
+
+
+def _chunks(words: list[str], languages: int):
+    """Places of words of like length, of bounded letters together."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    held: list[int] = []
+    for i in order:
+        if held and ((len(held) + 1) * (len(words[i]) + 1) * max(1, languages) > LETTERS or len(words[i]) > SEGMENT):
+            yield held
+            held = []
+        held.append(i)
+    if held:
+        yield held
+
+
+def _long(word: str, vocab: Pieces, probs: np.ndarray) -> np.ndarray:
+    """Log-likelihood of a very long word, a segment being in memory at a time."""
+    now, tail, at = np.zeros(probs.shape[1]), np.ones((1, probs.shape[1])), 0
+    while at < len(word):
+        base, done = at - len(tail) + 1, len(tail) - 1
+        own = word[base : at + SEGMENT]
+        alpha = np.zeros((len(own) + 1, probs.shape[1]))
+        alpha[: len(tail)] = tail
+        for (j, k), (_, p) in lattice([own], vocab).items():
+            if j < len(tail):
+                continue
+            if j > done:
+                if done % STEP == 0:
+                    top = alpha[max(0, done - vocab.longest + 1) : done + 1].max(0)
+                    alpha[max(0, done - vocab.longest + 1) : done + 1] /= top
+                    now += np.log(top)
+                done = j
+            alpha[j] += alpha[j - k] * probs[p[0]]
+        tail, at = alpha[-vocab.longest :], base + len(own)
+    return np.log(tail[-1]) + now
 
 
 def likelihoods(words: list[str], vocab: dict[str, int], probs: np.ndarray) -> np.ndarray:
     """Log-likelihood of each word in each language."""
-    if not words:
-        return np.zeros((0, probs.shape[1]))
-    alpha = forward(words, lattice(words, vocab), probs)
-    return np.log(alpha[[len(w) for w in words], np.arange(len(words))])
+    vocab = vocab if isinstance(vocab, Pieces) else Pieces(vocab)
+    out = np.zeros((len(words), probs.shape[1]))
+    for some in _chunks(words, probs.shape[1]):
+        own = [words[i] for i in some]
+        if len(own) == 1 and len(own[0]) > SEGMENT:
+            out[some[0]] = _long(own[0], vocab, probs)
+            continue
+        alpha, scale = forward(own, lattice(own, vocab), probs)
+        end = ([len(w) for w in own], np.arange(len(own)))
+        out[some] = np.log(alpha[end]) + scale[end]
+    return out
 
 
 def expected_counts(words: list[str], counts: np.ndarray, vocab: dict[str, int], probs: np.ndarray) -> np.ndarray:
     """Expected uses of each piece, words being weighted; probs has one column."""
-    edges = lattice(words, vocab)
-    alpha = forward(words, edges, probs)[:, :, 0]
-    beta = np.zeros_like(alpha)
-    ends = np.array([len(w) for w in words])
-    beta[ends, np.arange(len(words))] = 1
-    total = alpha[ends, np.arange(len(words))]
     out = np.zeros(len(probs))
-    for (j, k), (w, p) in reversed(edges.items()):
-        beta[j - k, w] += beta[j, w] * probs[p, 0]
-    for (j, k), (w, p) in edges.items():
-        np.add.at(out, p, counts[w] * alpha[j - k, w] * probs[p, 0] * beta[j, w] / total[w])
+    for some in _chunks(words, 2):
+        own, n = [words[i] for i in some], counts[some]
+        if len(own[0]) > SEGMENT:
+            continue
+        edges = lattice(own, vocab)
+        (alpha, up), (beta, down) = forward(own, edges, probs), _backward(own, edges, probs)
+        end = ([len(w) for w in own], np.arange(len(own)))
+        total, level = alpha[end][:, 0], up[end][:, 0]
+        for (j, k), (w, p) in edges.items():
+            share = alpha[j - k, w, 0] * probs[p, 0] * beta[j, w, 0] / total[w]
+            np.add.at(out, p, n[w] * share * np.exp(up[j - k, w, 0] + down[j, w, 0] - level[w]))
     return out
 
 
 def parts_of(word: str) -> list[str]:
-    """The letter runs of a word in lower case, the first one of each with the mark of a space, in bounded cuts."""
-    return [s[i : i + CUT] for run in _LETTERS.findall(word) for s in ["▁" + run] for i in range(0, len(s), CUT)]
+    """The letter runs of a word in lower case, each with the mark of a space."""
+    if word.isalpha():
+        return ["▁" + word]
+    runs = _LETTERS.findall(word)
+    return ["▁" + x for run in runs for x in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 class Scorer:
@@ -170,11 +263,10 @@ class Scorer:
         return rows if need <= len(rows) else np.concatenate([rows, np.zeros((max(len(rows), need - len(rows)), rows.shape[1]))])
 
     def _learn_parts(self, fresh: list[str]) -> None:
-        self.parts = self._room(self.parts, len(self.known) + len(fresh))
-        for i in range(0, len(fresh), 20_000):
-            some, n = fresh[i : i + 20_000], len(self.known)
-            self.parts[n : n + len(some)] = likelihoods(some, self.vocab, self.probs)
-            self.known.update(zip(some, range(n, n + len(some)), strict=True))
+        n = len(self.known)
+        self.parts = self._room(self.parts, n + len(fresh))
+        self.parts[n : n + len(fresh)] = likelihoods(fresh, self.vocab, self.probs)
+        self.known.update(zip(fresh, range(n, n + len(fresh)), strict=True))
 
     def _learn(self, words: list[str]) -> None:
         cuts = [parts_of(w) for w in words]
@@ -223,6 +315,7 @@ def _word_counts(batches):
 
 def _expect(probs: dict[str, np.ndarray] | None, path: str | None):
     def run(batches):
+        claim("langid")
         vocab = vocabulary(path)
         flat = np.full((len(vocab) + 1, 1), 1 / len(vocab))
         flat[0] = UNKNOWN
@@ -272,6 +365,7 @@ def fit(docs: DataFrame, per_language: int = TRAIN_DOCS, rounds: int = ROUNDS, p
 
 def _tell(model):
     def run(batches):
+        claim("langid")
         langs, probs, path, key = model.value
         if key not in _SCORERS:
             _SCORERS.clear()

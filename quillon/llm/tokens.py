@@ -11,6 +11,8 @@ import os
 import re
 from array import array
 
+from quillon.llm.memory import claim, remembers
+
 #: Words that a worker remembers; the memory is emptied when full, which changes no result.
 CACHE_WORDS = 1_200_000
 END_ID = 0
@@ -19,6 +21,9 @@ _ODD = re.compile(r" (?:\s|$)")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+remembers("tokens", _ENCODERS.clear)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -62,6 +67,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
+        claim("tokens")
         if path not in _ENCODERS:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
