@@ -1,9 +1,10 @@
 """A corpus from documents to packed sequences, in five stages.
 
-Each stage takes what the one before kept, as a table written and read again. Documents without a told language go;
-one document of each
-class of near duplicates (5-word shingles, similarity 0.8 or more) stays; passages that an earlier document has are cut; contaminated documents go;
-the rest is encoded and packed. All stages but the last return the columns of documents.
+Each stage takes what the one before kept, as a table written and read again. Documents without a told language go; one
+document of each class of near duplicates (5-word shingles, similarity 0.8 or more) stays; passages that an earlier
+document has are cut; documents with a passage of the benchmark go; the rest is encoded and packed. All stages but the
+last return the columns of documents, extra ones too. Null doc_ids, null and empty texts, repeated rows and empty tables
+are as the stages' operators say.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from quillon.llm.langid import language_filter
 from quillon.llm.neardup import near_duplicates_dropped
 from quillon.llm.packing import pack
 from quillon.llm.suffixdedup import suffix_dedup
-from quillon.runtime import shared_path, table
+from quillon.runtime import cut, remove, shared_path, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,16 +41,20 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("language ID", language_id), ("near-dedup", near_dedup), ("suffix-array dedup", passage_dedup), ("benchmark decontamination", benchmark_filter), ("best-fit packing", packing)]
+STAGES = [("language ID", language_id), ("SimHash near-dedup", near_dedup), ("suffix-array dedup", passage_dedup), ("benchmark decontamination", benchmark_filter), ("best-fit packing", packing)]
 
 #: The stages use hashes, models and tokenizers that SQL has not.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
+    out = cut(STAGES[-1][1](spark, docs, sf_dir))
+    remove(spark, before)
+    return out

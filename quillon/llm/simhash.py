@@ -22,56 +22,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.graph import components
-from quillon.runtime import cut, ship, table
+from quillon.runtime import cut, ship, shuffle_width, table
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
 #: Fingerprints that share a key up to which candidates are compared one by one.
 HOT_KEY = 256
+#: Places of a bitmap that tells which rows may go.
+SLOTS = 1 << 24
+#: Keys in a bucket, about; those of frequent keys are not among them.
+BUCKET_KEYS = 200_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _GENERATOR = 0b101011100011
 
 
-def fingerprint_texts(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
-    """One unsigned 64-bit fingerprint for each text."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of each shingle of a text, repeats included; none for a text without words."""
     import xxhash
 
-    digest = partial(xxhash.xxh64_intdigest, seed=SEED)
-    place: dict[str, int] = {}
-    where = np.array([place.setdefault(t or "", len(place)) for t in texts], dtype=np.int64)
-    out = np.zeros(len(place), dtype=np.uint64)
-    hashes: list[int] = []
-    owners: list[int] = []
-    starts: list[int] = []
-
-    def flush() -> None:
-        if not owners:
-            return
-        h = np.array(hashes, dtype="<u8")
-        edges = np.array([*starts, len(h)])
-        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            total = np.zeros(64, dtype=np.int64)
-            for c in range(a, b, 65536):
-                bits = np.unpackbits(h[c : min(b, c + 65536)].view(np.uint8), bitorder="little").reshape(-1, 64)
-                total += bits.sum(0, dtype=np.uint32)
-            out[owners[i]] = np.packbits(2 * total > b - a, bitorder="little").view("<u8")[0]
-        hashes.clear(), owners.clear(), starts.clear()
-
-    for t, i in place.items():
-        words = t.encode("utf-8", "replace").translate(LOWER).split()
-        if not words:
-            continue
-        owners.append(i)
-        starts.append(len(hashes))
-        if len(words) < shingle:
-            hashes.append(digest(b" ".join(words)))
-        else:
-            hashes.extend(map(digest, map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))))
-        if len(hashes) > 200_000:
-            flush()
-    flush()
-    return out[where] if len(where) else np.zeros(0, dtype=np.uint64)
+    words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
+    if not words:
+        return np.zeros(0, dtype="<u8")
+    parts = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), parts), dtype="<u8")
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have."""
+    total = np.zeros(64, dtype=np.int64)
+    for c in range(0, len(hashes), 65536):
+        total += np.unpackbits(hashes[c : c + 65536].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.uint32)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint_texts(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
+    """One unsigned 64-bit fingerprint for each text; equal texts are told once."""
+    known = {t: fingerprint(shingle_hashes(t, shingle)) for t in set(texts)}
+    return np.array([known[t] for t in texts], dtype=np.uint64)
 
 
 def text_key() -> F.Column:
@@ -194,13 +182,14 @@ def links(distinct: DataFrame, hot_key: int | None = None) -> DataFrame:
     keys = distinct.select("fp", "rep").mapInArrow(_keyed, "key long, fp long, rep long")
     hot = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (hot_key or HOT_KEY)).select("key")
     hot = cut(hot)
-    width = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # so many buckets that each has a bounded number of keys, of which a fingerprint has some 15
+    buckets = max(96, 8 * shuffle_width(spark), 15 * distinct.count() // BUCKET_KEYS + 1)
     if hot.isEmpty():
         cold, wide = keys, None
     else:
         cold = keys.join(hot, "key", "left_anti")
         wide = keys.join(hot, "key", "left_semi").select("fp", "rep").distinct().mapInArrow(_centres, "centre long, rep long")
-    near = cold.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(8 * width))).groupBy("bucket").applyInArrow(_verify, "u long, v long")
+    near = cold.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(_verify, "u long, v long")
     if wide is None:
         return near
     members = wide.groupBy("centre").agg(F.sort_array(F.collect_set("rep")).alias("m")).where(F.size("m") > 1)
@@ -222,17 +211,32 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return _told(docs).select("doc_id", "fp", "component_id")
 
 
+def _slot(key) -> F.Column:
+    return F.pmod(key, F.lit(SLOTS)).cast("int")
+
+
 def keep_one(docs: DataFrame, told: DataFrame) -> DataFrame:
     """The rows with the least doc_id of each class; columns as they were. told: (doc_id, key, class) of all rows.
 
     A null doc_id counts as the largest. Of a class without any doc_id one row stays, of the text with the least key.
+    Only rows that share one of ``SLOTS`` places with a row that goes are moved, and told exactly.
     """
+    spark = docs.sparkSession
     least = told.groupBy("class").agg(F.min("doc_id").alias("_least"), F.min("key").alias("_key"))
-    keep = told.join(least, "class").where("doc_id = _least").select(F.col("doc_id").alias("_keep"), F.col("key").alias("_text")).distinct()
-    named = docs.where("doc_id is not null").join(keep, (docs["doc_id"] == keep["_keep"]) & (F.xxhash64(docs["text"].cast("string")) == keep["_text"]), "left_semi")
-    alone = least.where("_least is null").select("_key")
-    unnamed = docs.where("doc_id is null").dropDuplicates(["text"])
-    return named.unionByName(unnamed.join(alone, F.xxhash64(unnamed["text"].cast("string")) == alone["_key"], "left_semi"))
+    last = F.col("doc_id").isNull()
+    goes = F.when(last, F.col("_least").isNotNull() | (F.col("key") != F.col("_key"))).otherwise(F.col("doc_id") != F.col("_least"))
+    gone = cut(told.join(least, "class").where(goes).select(F.col("doc_id").alias("_id"), F.col("key").alias("_text")).distinct())
+    twice = cut(told.where(last).groupBy("key").count().where("count > 1").select(F.col("key").alias("_text")))
+    slots = gone.select(_slot(F.col("_text"))).union(twice.select(_slot(F.col("_text")))).distinct().toArrow().column(0)
+    bits = np.zeros(SLOTS, dtype=bool)
+    bits[slots.to_numpy()] = True
+    one = F.broadcast(spark.createDataFrame(pa.table({"_bits": pa.array([np.packbits(bits, bitorder="little").view("<i8")], pa.list_(pa.int64()))})))  # SLOTS / 8 bytes
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(docs["text"].cast("string")).alias("_key")).withColumn("_slot", _slot(F.col("_key")))
+    may_go = F.expr("shiftrightunsigned(_bits[shiftright(_slot, 6)], _slot & 63) & 1L = 1L")
+    some, sure = own.join(one, may_go).drop("_bits"), own.join(one, ~may_go).drop("_bits")
+    held = some.join(gone, some["_doc"].eqNullSafe(gone["_id"]) & (some["_key"] == gone["_text"]), "left_anti")
+    named, unnamed = held.where("_doc is not null"), held.where("_doc is null").dropDuplicates(["_key"])
+    return sure.select("_row").unionByName(named.select("_row")).unionByName(unnamed.select("_row")).select("_row.*")
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:

@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quillon.llm import esa
-from quillon.llm.memory import give_back
+from quillon.llm.memory import claim, give_back
+from quillon.llm.packed import slices, squeezed, steps, unsqueezed
 from quillon.runtime import cut, ship, shuffle_width, table
 
 WINDOW = 50
@@ -159,6 +160,7 @@ class Batch:
     """The documents of a batch in order, their anchors, and the windows that the batch itself settles."""
 
     def __init__(self, rows: pa.Table):
+        claim("suffixes")
         doc = pc.fill_null(rows.column("doc_id").cast(pa.int64()), _LAST).to_numpy()
         raw = rows.column("text").combine_chunks()
         if isinstance(raw, pa.ChunkedArray):
@@ -222,33 +224,6 @@ def bucket_of(code: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     return ((code >> _U(bits - 24)) * _U(buckets) >> _U(24)).astype(np.int64)
 
 
-def squeezed(*columns: np.ndarray) -> bytes:
-    """Columns of numbers from 0 on, by bytes of like weight."""
-    out = []
-    for x in columns:
-        raw = np.ascontiguousarray(x).astype("<u8").view(np.uint8).reshape(-1, 8)
-        wide = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
-        out.append(np.array([len(x), wide], "<u4").tobytes() + np.ascontiguousarray(raw[:, :wide].T).tobytes())
-    return zstandard.compress(b"".join(out), 1)
-
-
-def unsqueezed(data: bytes) -> list[np.ndarray]:
-    data = zstandard.decompress(data)
-    out, at = [], 0
-    while at < len(data):
-        n, wide = np.frombuffer(data, "<u4", 2, at).tolist()
-        raw = np.zeros((n, 8), dtype=np.uint8)
-        raw[:, :wide] = np.frombuffer(data, np.uint8, n * wide, at + 8).reshape(wide, n).T
-        out.append(raw.reshape(-1).view("<u8").astype(np.uint64))
-        at += 8 + n * wide
-    return out
-
-
-def _steps(x: np.ndarray) -> np.ndarray:
-    """Differences of a sequence that does not fall."""
-    return np.diff(x.astype(np.uint64), prepend=_U(0))
-
-
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.cumsum(x, dtype=np.uint64).astype(np.int64)
 
@@ -277,12 +252,6 @@ def _table(rows: list[tuple], names: str) -> pa.Table:
     return pa.table([pa.array(c, _TYPES[k]) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * len(keys), keys, strict=True)], names=keys)
 
 
-def _slices(key: np.ndarray) -> list[tuple[int, int, int]]:
-    """(value, first, end) of each run of an ordered array."""
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return list(zip(key[first].tolist(), first.tolist(), [*first[1:].tolist(), len(key)], strict=True)) if len(key) else []
-
-
 def _batch_of(rows: pa.Table) -> int:
     return int(rows.column("batch")[0].as_py())
 
@@ -293,9 +262,9 @@ def _grams(buckets: int, bits: int):
     def run(rows: pa.Table) -> pa.Table:
         _, code, _, n = Batch(rows).codes(bits)
         k, out = _batch_of(rows), []
-        for b, x, y in _slices(bucket_of(code, bits, buckets)):
+        for b, x, y in slices(bucket_of(code, bits, buckets)):
             often = np.flatnonzero(n[x:y] > 1)
-            out.append((b, k, squeezed(_steps(code[x:y]), often, n[x:y][often])))
+            out.append((b, k, squeezed(steps(code[x:y]), often, n[x:y][often])))
         return _table(out, "key batch data")
 
     return run
@@ -335,7 +304,7 @@ def _contexts(buckets: int, bits: int):
         b, k = Batch(rows), _batch_of(rows)
         r, code, of, _ = b.codes(bits)
         flag, deal = np.zeros(len(code), dtype=bool), np.ones(len(code), dtype=np.int64)
-        where = {key: (x, y) for key, x, y in _slices(bucket_of(code, bits, buckets))}
+        where = {key: (x, y) for key, x, y in slices(bucket_of(code, bits, buckets))}
         for key, bit, hot in zip(*(asked.column(c).to_pylist() for c in ("key", "flags", "data")), strict=True):
             x, y = where[key]
             flag[x:y] = np.unpackbits(np.frombuffer(bit, np.uint8), count=y - x)
@@ -349,9 +318,9 @@ def _contexts(buckets: int, bits: int):
         order = np.argsort(home, kind="stable")
         a, z, p = (b.runs[x][r] for x in "azp")
         raw, out = b.buf.tobytes(), []
-        for key, x, y in _slices(home[order]):
+        for key, x, y in slices(home[order]):
             o = order[x:y]
-            meta = squeezed(_steps(a[o]), z[o] - a[o], p[o] - a[o], _steps(b.owner[r[o]].astype(np.uint64) ^ _U(1 << 63)), hot[o])
+            meta = squeezed(steps(a[o]), z[o] - a[o], p[o] - a[o], steps(b.owner[r[o]].astype(np.uint64) ^ _U(1 << 63)), hot[o])
             out.append((key, k, meta, zstandard.compress(b"".join(raw[i : j + WINDOW] for i, j in zip(a[o].tolist(), z[o].tolist(), strict=True)), 3)))
         return _table(out, "key batch data text")
 
@@ -360,7 +329,7 @@ def _contexts(buckets: int, bits: int):
 
 def _told(batch: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[tuple[int, bytes]]:
     order = np.lexsort((at, batch))
-    return [(k, squeezed(_steps(at[order][x:y]), n[order][x:y])) for k, x, y in _slices(batch[order])]
+    return [(k, squeezed(steps(at[order][x:y]), n[order][x:y])) for k, x, y in slices(batch[order])]
 
 
 def _answers(buckets: int):
@@ -387,7 +356,7 @@ def _answers(buckets: int):
             home = _window_hash(buf, w) % _U(buckets)
             order = np.argsort(home, kind="stable")
             text = np.lib.stride_tricks.sliding_window_view(buf, WINDOW)
-            for key, x, y in _slices(home[order].astype(np.int64)):
+            for key, x, y in slices(home[order].astype(np.int64)):
                 o = order[x:y]
                 i = c[o]
                 data = squeezed(batch[i], at[i] + w[o] - a[i], doc[i].astype(np.uint64) ^ _U(1 << 63))

@@ -51,3 +51,38 @@ def test_edges(spark):
     assert got[0].text == got[1].text == got[2].text == "" and got[3].text == "plain" and got[6].text == clean(LONG)
     assert all(r.n_chars == len(r.text) for r in got)
     assert H.extract(df.where("page_id < 0")).count() == 0
+
+
+def test_quotes_in_tags():
+    assert H.main_text('<p class="x>Hello there</p>') == "Hello there"
+    assert H.main_text('<p class="x>Hello</p><p class="y">there</p>') == "there"  # a value runs on to the next quote
+    assert H.main_text("<p title=don't>one</p><p title='a > b'>two</p>") == "one\ntwo"
+    assert H.main_text("<p " + '=" ' * 50_001) is not None
+
+
+def test_names_weigh_and_do_not_delete():
+    refs = "<ul><li><a href=1>First reference, with its title</a><li><a href=2>Second one</a><li><a href=3>Third</a></ul>"
+    body = f"<h1>Head</h1><p>{LONG}</p><p class='notice'>Important finding, kept.</p>{refs}<div class='notice'>We use cookies.</div><ul class='share'><li>Send</ul><div class='comments'><p>Me too</p></div><p>{LONG}</p>"
+    want = ["Head", clean(LONG), "Important finding, kept.", "First reference, with its title", "Second one", "Third", clean(LONG)]
+    assert H.main_text(page(f"<article>{body}</article>")).split("\n") == want
+    assert H.main_text(page(f"<div class='legal'><article>{body}</article></div>", "<div><p>tiny text here</p></div>")).split("\n") == want
+    alone = f"<div class='legal'><h2>Terms</h2><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div>tiny text here</div>"
+    assert H.main_text(alone).split("\n") == ["Terms", *[clean(LONG)] * 3]
+
+
+def test_layouts_without_article():
+    long, short = "word, " * 15 + "text " * 280, "word, " * 2 + "text " * 55
+    for wrap in ("<div>{}</div>", "<section class='content'>{}</section>", "<table><tr><td>{}</table>"):
+        got = H.main_text("<body><nav><a href=/>Home</a></nav>" + wrap.format(f"<div><p>{long}</div><div><p>{short}</div><h3>Sub</h3><p>Short.</p><math><mi>x</mi></math>") + "<footer>me</footer>")
+        assert [x[:5] for x in got.split("\n")] == ["word,", "word,", "Sub", "Short", "x"], wrap
+    menu = "<ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>More</a></ul>"
+    assert H.main_text(f"<body>{menu}<div><p>{LONG}</p><p>{LONG}</p></div>{menu}").split("\n") == [clean(LONG)] * 2
+
+
+def test_time_grows_with_length():
+    import time
+
+    for deep in ("<div>some words, of text" * 100_000, "<i><div>" + "<b>x" * 50_000 + "</i>" * 50_000, "<ul>" + "<li>x" * 50_000, "<p>" + "<section>some words, of text" * 50_000):
+        began = time.perf_counter()
+        assert H.main_text(deep)
+        assert time.perf_counter() - began < 5

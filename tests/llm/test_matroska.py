@@ -15,11 +15,10 @@ def test_round_trip_and_table():
         got = M.packets(raw)
         assert M.payload_of(raw, got) == p and len(got) == n // 64
         assert all(x.track == 1 and x.size == 64 and x.key for x in got)
-        times = sorted({x.time for x in got})
-        assert times == [k * 64 * 255 // 8 for k in range(len(times))]
+        assert [x.time_ns for x in got] == [k * 8_000_000 for k in range(n // 64)]
         for t, track, at in M.cues(raw):
             assert track == 1 and raw[at : at + 4] == bytes.fromhex("1f43b675")
-            assert any(x.time == t and x.start > at for x in got)
+            assert any(x.time_ns == t and x.start > at for x in got)
 
 
 def test_lacings_groups_and_unknown_sizes():
@@ -39,10 +38,25 @@ def test_lacings_groups_and_unknown_sizes():
     raw = M._HEAD + b"\x18\x53\x80\x67\x01" + b"\xff" * 7 + M._TRACK + cluster + M.element(M.CUES, b"")
     got = M.packets(raw)
     assert [raw[p.start : p.start + p.size] for p in got] == frames * 2
-    assert [(p.track, p.time, p.key) for p in got[::5]] == [(1, 105, True), (129, 99, False)]
-    for bad in [b"", b"RIFF", raw[:20], M.mux(bytes(640))[:-30]]:
-        with pytest.raises((ValueError, IndexError)):
-            M.packets(bad)
+    assert [(p.track, p.time_ns // 10**6, p.key) for p in got[::5]] == [(1, 105, True), (129, 99, False)]
+    assert [p.time_ns for p in got[:5]] == [105_000_000 + i * 8_000_000 for i in range(5)]
+    assert {p.time_ns for p in got[5:]} == {99_000_000}  # a track without an entry has no duration
+    whole = M.mux(bytes(64 * 600))
+    for bad in [b"", b"RIFF", raw[:20], *(whole[:k] for k in range(60, len(whole), 997))]:
+        for f in (M.packets, M.tracks, M.cues):
+            with pytest.raises(ValueError):
+                f(bad)
+
+
+def test_scale_and_tables(spark):
+    about = M.element(M.INFO, M.number(M.SCALE, 500_000))
+    block = M.element(M.SIMPLE, b"\x81\x00\x0a\x80xx")
+    raw = M._HEAD + M.element(M.SEGMENT, about + M._TRACK + M.element(M.CLUSTER, M.number(M.TIME, 100) + block) + M.element(M.CUES, M.element(M.POINT, M.number(M.CUE_TIME, 100) + M.element(M.POSITIONS, M.number(M.CUE_TRACK, 1) + M.number(M.CUE_CLUSTER, 7)))))
+    assert [p.time_ns for p in M.packets(raw)] == [55_000_000]
+    media = spark.createDataFrame([(1, bytearray(raw)), (2, None)], "doc_id long, media binary")
+    assert [tuple(r) for r in M.track_table(media).collect()] == [(1, 1, 1, 2, "A_PCM/INT/LIT", 8_000_000, 8000.0, 1, 8)]
+    assert [(r.doc_id, r.time_ns, r.track) for r in M.cue_table(media).collect()] == [(1, 50_000_000, 1)]
+    assert [(r.doc_id, r.time_ns, r.size) for r in M.packet_table(media).collect()] == [(1, 55_000_000, 2)]
 
 
 def test_query(docs_of, spark):

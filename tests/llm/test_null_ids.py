@@ -28,5 +28,5 @@ def test_contaminated_ones_go_and_later_blocks_count(spark, docs_of):
     bench = spark.createDataFrame([("1", items[0]), ("2", items[1])], "item_id string, text string")
     docs = docs_of([(None, f"{items[0]} {items[1]}"), (None, items[1]), (None, "clean"), (4, "clean too")])
     assert sorted(r.text for r in D.decontaminate(docs, bench).collect()) == ["clean", "clean too"]
-    got = D.contamination(docs, bench, block_bytes=10).collect()
+    got = D.contamination(docs, bench, block_windows=5).collect()
     assert sorted((r.n_hit, r["items"]) for r in got) == [(0, []), (0, []), (13, ["2"]), (26, ["1", "2"])]

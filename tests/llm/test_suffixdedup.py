@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from quillon.llm import suffixdedup as S
 
@@ -89,7 +90,7 @@ def test_windows_that_several_chunks_leave():
         w = np.lib.stride_tricks.sliding_window_view(buf, 50)
         n = len(w)
         data = S.squeezed(np.full(n, i), np.arange(n), np.full(n, i + 1, dtype=np.uint64) ^ np.uint64(1 << 63))
-        rows.append((0, -1, data, S.zstandard.compress(w.tobytes())))
+        rows.append((0, -1, data, zstandard.compress(w.tobytes())))
     out = S._last_answers(S._table([*rows, (0, 9, b"kept", None)], "key batch data text"))
     assert out.column("batch").to_pylist() == [9, 1]
     at, n = S.unsqueezed(out.column("data")[1].as_py())
