@@ -7,7 +7,9 @@ combination. The combination is taken as often as the counts allow, which gives
 of one length are alike, so each is placed by its rank among them; ranks are found without bringing a length's pieces
 together in one task.
 
-Null and empty texts have one token, the end id. Repeated rows are packed each. An empty table gives no rows.
+Null and empty texts have one token, the end id. Repeated rows and rows with a null doc_id are packed each; which of two
+equal ones stands where is free. Of combinations that are as full the one that takes longer pieces first is taken. Extra
+columns of any name are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.graph import gapless_rank
+from quillon.llm.graph import gapless_rank, salts_for
 from quillon.llm.tokens import END_ID, Encoder, default_vocabulary
 from quillon.runtime import cut, ship, table
 
@@ -127,7 +129,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     """Every piece with its sequence and its offset there."""
     cutup = cut(pieces(docs, capacity, vocabulary))
     counts = {r.length: r["count"] for r in cutup.groupBy("length").count().collect()}  # capacity rows at most
-    ranked = gapless_rank(cutup, ["length"], ["doc_id", "piece"])
+    # lengths with many pieces are ranked by more tasks
+    many = [F.lit(x) for k, n in counts.items() if salts_for(n) > salts_for(0) for x in (k, salts_for(n))]
+    salts = F.coalesce(F.create_map(*many)[F.col("length")], F.lit(salts_for(0))) if many else salts_for(0)
+    ranked = gapless_rank(cutup, ["length"], ["doc_id", "piece", "ids_crc32"], salts=salts)
     return ranked.mapInArrow(_placer(places(plan_bins(counts, capacity))), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
