@@ -6,7 +6,9 @@ and the pooled one towards a multiple of the identity. A score is the logistic o
 Mahalanobis distances by Cholesky factors that are computed once, log determinants and class shares.
 
 Null and empty texts have the measures of an empty text. Without labelled rows of both classes the score is the
-learned class's share, or 0.5. Repeated rows are scored each; an empty table gives no rows.
+learned class's share, or 0.5. Labels other than 0 and 1 and those of unknown or null doc_ids are left out; rows with the
+same doc_id are scored each by its own text, and learned from each. Extra columns of any name are ignored. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
