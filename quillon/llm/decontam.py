@@ -4,7 +4,7 @@ Texts are put in a normal form (A-Z lower-cased, words parted by one space) and
 table says how far the search may skip; the buffer is searched in many lanes at once, each with its own cursor. Where
 the shift is zero, the bucket of the suffix block and the leading block select test strings, and a direct comparison
 confirms each occurrence. Patterns are searched in classes of like length, so that a short one does not shorten the
-skips of the rest. A pattern is a place in the benchmark's own buffer, so a worker needs some 60 bytes for each window.
+skips of the rest. A pattern is a place in the benchmark's own buffer, so a worker needs less than 100 bytes for each window.
 
 The benchmark is the query set. It goes to the workers in blocks of ``BLOCK_WINDOWS`` windows, about, each block being
 searched in all documents; one block is the rule. Of later blocks only the documents that they hit move.
