@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.layout import BROADCAST_BYTES, multicast
 from quillon.operators.transforms import Expr, col, named, unused
+from quillon.runtime import ship
 
 
 def merge_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner", one_to_one: bool = False, order_a: list[str] | None = None, order_b: list[str] | None = None, **exprs: Expr) -> DataFrame:
@@ -75,3 +78,30 @@ def cross_join_fold_array(x: DataFrame, small: DataFrame, seed: Expr, step: Call
     every = unused("_all", x, small)
     one = small.agg(F.array_sort(F.collect_list(F.struct(*small.columns))).alias(every))
     return x.crossJoin(F.broadcast(one)).withColumn(name, F.aggregate(every, col(seed), step)).drop(every)  # one row, limit_bytes as text
+
+
+def pairs_fold(df: DataFrame, fold: Callable[[pa.Table, pa.Table | None], pa.Table], schema: str, groups: int) -> DataFrame:
+    """A fold over all pairs of a set's own rows, in cells of a triangle.
+
+    Rows fall into ``groups`` groups by their hash. Each two groups are a task, as is each group by itself; it holds these
+    rows and gives what ``fold(a, b)`` makes of the pairs of a row of a and one of b, or with b None of the pairs within a.
+    A row is sent once for each group, so with as many groups as rows are for a task's memory no task grows with the set.
+    """
+    ship(df.sparkSession)
+    own, other, cell, side = (unused(n, df) for n in ("_own", "_other", "_cell", "_side"))
+    high = F.greatest(own, other)
+    dealt = df.withColumn(own, F.pmod(F.xxhash64(*df.columns), F.lit(groups)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt = dealt.withColumn(cell, (high * (high + 1) / 2 + F.least(own, other)).cast("int")).withColumn(side, F.signum(F.col(own) - F.col(other)).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        whole = pa.Table.from_batches(got) if got else None
+        for c in pc.unique(whole[cell]).to_pylist() if got else []:
+            there = whole.filter(pc.equal(whole[cell], c))
+            low, within, up = (there.filter(pc.equal(there[side], k)).drop_columns([cell, side]) for k in (-1, 0, 1))
+            if within.num_rows:
+                yield from fold(within, None).to_batches()
+            elif low.num_rows and up.num_rows:
+                yield from fold(low, up).to_batches()
+
+    return dealt.drop(own, other).repartitionById(groups * (groups + 1) // 2, F.col(cell)).mapInArrow(run, schema)

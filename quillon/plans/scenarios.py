@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.dataset import Dataset
-from quillon.functions import registry
+from quillon.functions import distances, registry
 from quillon.functions.scalar import words
 from quillon.operators import actions, aggregates, combine, joins, layout, position, sorting, transforms
 from quillon.plans.entry import catalogue
@@ -25,6 +25,8 @@ _V = "list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) A
 _FAR = "list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 #: The largest step of a coordinate, in thousandths, at which centres count as settled; and the rounds at most.
 SETTLED, ROUNDS = 10, 30
+#: Groups of vectors whose pairs are a task: so many, of no fewer rows than that, and more beyond so many numbers in each.
+GROUPS, FEWEST, NUMBERS = 16, 2048, 1 << 22
 
 
 @query(f"""
@@ -68,11 +70,13 @@ WITH p AS (SELECT vec_id, {_V} AS v FROM embeddings)
 SELECT CAST(floor(sqrt({_FAR}) / 250) AS BIGINT) AS bucket, count(*) AS n FROM p JOIN p c ON p.vec_id < c.vec_id GROUP BY 1
 """)
 def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of all pairs of vectors in buckets: a product with a set that goes to every node, folded as it is made."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long")).alias("v"))
-    far = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0).cast("long"), lambda s, x: s + x)
-    pairs = joins.cross_join_choose(v, v.toDF("other", "w"), "vec_id < other", bucket=F.floor(F.sqrt(far.cast("double")) / 250).cast("long"))
-    return aggregates.reduce_by_key(pairs, ["bucket"], n="count(1)")
+    """Distances of all pairs of vectors in buckets. Pairs are as many as the square of the rows; they are counted in
+    blocks as they are made, by tasks that each hold two groups of vectors."""
+    v = table(spark, sf_dir, "embeddings").where("vec_id is not null").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long")).alias("v"))
+    n, numbers = v.agg(F.count(F.lit(1)), F.sum(F.size("v"))).first()
+    groups = max(1, min(GROUPS, -(-n // FEWEST)), -(-(numbers or 0) // NUMBERS))
+    pairs = joins.pairs_fold(v, distances.bucket_pairs, distances.SCHEMA, groups)
+    return aggregates.reduce_by_key(pairs, ["bucket"], n="sum(n)")
 
 
 _EPOCH = """
