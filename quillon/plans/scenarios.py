@@ -14,6 +14,7 @@ from quillon.dataset import Dataset
 from quillon.functions import distances, registry
 from quillon.functions.scalar import words
 from quillon.operators import actions, aggregates, combine, joins, layout, position, sorting, transforms
+from quillon.plans import pipelines
 from quillon.plans.entry import catalogue
 from quillon.runtime import cut, remove, shared_path, table
 from quillon.sources import files, generate
@@ -27,6 +28,8 @@ _FAR = "list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z
 SETTLED, ROUNDS = 10, 30
 #: Groups of vectors whose pairs are a task: so many, of no fewer rows than that, and more beyond so many numbers in each.
 GROUPS, FEWEST, NUMBERS = 16, 2048, 1 << 22
+#: Words whose weights go to every node, at most.
+COMMON = 300_000
 
 
 @query(f"""
@@ -116,14 +119,25 @@ SELECT doc_id, CAST(sum(v) AS BIGINT) AS score, CAST(sum(v) > 0 AS INTEGER) AS t
 """)
 def naive_bayes_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two map-reduce steps and a join: words by label, a weight for each word, and each document's sum of weights, in
-    millionths. Words are known by join, so no vocabulary comes to the driver; two class sizes do."""
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word")).distinct()
-    labels = Dataset(table(spark, sf_dir, "labels")).choose(doc_id="doc_id", quality="quality").df.distinct()
-    size = {r.quality: r.n for r in labels.join(table(spark, sf_dir, "documents").where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).where("quality in (0, 1)").collect()}
-    counts = Dataset(docs.join(labels, "doc_id"), ["word"]).reduce_by_key(good="count_if(quality = 1)", bad="count_if(quality = 0)").df
-    log = lambda n, q: F.log((F.col(n) + 1.0) / F.lit(size.get(q, 0) + 2))
-    weight = counts.select("word", F.round(1e6 * (log("good", 1) - log("bad", 0))).cast("long").alias("v"))
-    scores = docs.join(weight, "word").groupBy("doc_id").agg(F.sum("v").alias("score"))
+    millionths. Weights of the most frequent words, COMMON at most, go to every node, where most of a document's words
+    are summed as they are read; only the others are sent to meet their weights. No vocabulary comes to the driver."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    found = pipelines.document_words(docs)
+    labels = layout.multicast(Dataset(table(spark, sf_dir, "labels")).choose(doc_id="doc_id", quality="quality").df.distinct())
+    size = {r.quality: r.n for r in docs.select("doc_id").join(labels, "doc_id").distinct().groupBy("quality").agg(F.count(F.lit(1)).alias("n")).where("quality in (0, 1)").collect()}
+    counts = cut(Dataset(found(docs.join(labels, "doc_id")), ["word"]).reduce_by_key(good="count_if(quality = 1)", bad="count_if(quality = 0)", n="count(1)").df)
+    log = lambda n, q: F.log((F.col(n) + 1.0) / F.lit(size[q] + 2 if q in size else None))
+    weight = counts.select("word", F.round(1e6 * (log("good", 1) - log("bad", 0))).cast("long").alias("v"), "n")
+    least, held = 1 << 62, 0
+    for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().orderBy(F.desc("power")).collect():
+        held += r["count"]
+        if held > COMMON:
+            break
+        least = 1 << r.power
+    common, rare = F.broadcast(weight.where(F.col("n") >= least).drop("n")), weight.where(F.col("n") < least).drop("n")  # COMMON rows at most
+    total = lambda d: d.groupBy("doc_id").agg(F.sum("v").alias("v"))
+    scores = total(found(docs).join(common, "word")).unionByName(total(found(docs).join(common, "word", "left_anti").join(rare, "word")))
+    scores = scores.groupBy("doc_id").agg(F.sum("v").alias("score"))
     return scores.select("doc_id", "score", (F.col("score") > 0).cast("int").alias("told"))
 
 
